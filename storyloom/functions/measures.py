@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.functions import text as tx
 
@@ -61,7 +62,7 @@ def title_similarity_udf(stopwords):
         left, right = " ".join(sorted(a)), " ".join(sorted(b))
         return max(ratio(left, right), ratio(shared, left), ratio(shared, right))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
         import re
 

@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom import lexicons as lx
 
@@ -38,12 +39,12 @@ _MARKED, _PLAIN = _accent_table()
 
 
 # --- Arrow functions ---------------------------------------------------------------------------
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unicode_nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents_full(values: pd.Series) -> pd.Series:
     def strip(value):
         if value.isascii():
@@ -53,7 +54,7 @@ def strip_accents_full(values: pd.Series) -> pd.Series:
     return values.map(strip, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_unescape(values: pd.Series) -> pd.Series:
     return values.map(lambda v: html.unescape(v) if "&" in v else v, na_action="ignore")
 
@@ -197,7 +198,7 @@ def url_date(url: Column) -> Column:
 def absolute_links(page: Column, base: Column | None = None) -> Column:
     """href values of anchors, in page order; with a base, site-relative links are resolved."""
     links = F.transform(
-        F.regexp_extract_all(page, F.lit(r"""(?i)<a\b[^>]*?\bhref=["']([^"']+)["']"""), F.lit(1)), F.trim
+        F.regexp_extract_all(page, F.lit(r"""(?i)<a\b[^>]*?\bhref=["']([^"']+)["']"""), F.lit(1)), lambda h: F.trim(h)
     )
     if base is not None:
         root = F.concat(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storyloom import lexicons as lx
 from storyloom.functions import text as tx
+from storyloom.operators.ranking import pinned
 
 MAX_ENTITIES = 12
 CAPITALISED_NAME = r"\b([A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+)+)\b"
@@ -114,34 +115,49 @@ def extract_entities(articles: DataFrame, rules: lx.EnrichRules = lx.EnrichRules
         .withColumn("hits", F.concat(*groups))
         .where(F.size("hits") > 0)
         .withColumn("keys", F.transform("hits", lambda h: F.concat_ws("|", h["entity_type"], F.lower(h["name"]))))
+        .withColumn("back", F.reverse("keys"))
         .withColumn("tokens", F.regexp_extract_all(F.lower("text"), F.lit(f"({tx.WORD})"), F.lit(1)))
     )
 
-    def describe(key):
-        first = F.array_position("keys", key).cast("int")
-        final = (F.size("keys") + 1 - F.array_position(F.reverse("keys"), key)).cast("int")
-        kind = F.element_at("hits", first)["entity_type"]
-        at = F.when(kind == "person", first).otherwise(final)
-        return F.struct(first.alias("first"), kind.alias("entity_type"), F.element_at("hits", at)["name"].alias("name"))
-
-    def rate(entity):
-        in_title = F.contains(F.col("title"), entity["name"])
-        listed = entity["entity_type"] != "person"
-        relevance = F.when(
-            listed, F.when(in_title, LISTED_RELEVANCE[0]).otherwise(LISTED_RELEVANCE[1])
-        ).otherwise(F.when(in_title, NAME_RELEVANCE[0]).otherwise(NAME_RELEVANCE[1]))
-        frequency = F.size(F.filter("tokens", lambda t: t == head_of(entity["name"])))
-        return F.struct(
-            (-relevance).alias("worst"), (-frequency).alias("rare"), entity["first"].alias("first"),
-            entity["entity_type"].alias("entity_type"), entity["name"].alias("name"),
-            relevance.alias("relevance"),
-        )
-
-    best = F.slice(
-        F.array_sort(F.transform(F.transform(F.array_distinct("keys"), describe), rate)), 1, MAX_ENTITIES
-    )
-    rows = staged.withColumn("best", best).select(
-        "id", "title", "summary", "article_text", "text", F.posexplode("best").alias("at", "e")
+    # each step below is one array pass, so nothing is evaluated twice per entity
+    places = F.transform(
+        F.array_distinct("keys"),
+        lambda k: F.struct(
+            F.array_position("keys", k).cast("int").alias("first"),
+            (F.size("keys") + 1 - F.array_position("back", k)).cast("int").alias("final"),
+        ),
+    )
+    named = F.transform(
+        places,
+        lambda p: F.struct(
+            p["first"].alias("first"),
+            F.element_at("hits", p["first"])["entity_type"].alias("entity_type"),
+            F.when(
+                F.element_at("hits", p["first"])["entity_type"] == "person", F.element_at("hits", p["first"])["name"]
+            ).otherwise(F.element_at("hits", p["final"])["name"]).alias("name"),
+        ),
+    )
+    headed = F.transform(
+        named, lambda e: F.struct(e.alias("e"), head_of(e["name"]).alias("head"), F.contains("title", e["name"]).alias("t"))
+    )
+    relevance = lambda e, t: F.when(e["entity_type"] != "person", F.when(t, LISTED_RELEVANCE[0]).otherwise(LISTED_RELEVANCE[1])).otherwise(
+        F.when(t, NAME_RELEVANCE[0]).otherwise(NAME_RELEVANCE[1])
+    )
+    rated = F.transform(
+        headed,
+        lambda x: F.struct(
+            (-relevance(x["e"], x["t"])).alias("worst"),
+            (-F.size(F.filter("tokens", lambda w: w == x["head"]))).alias("rare"),
+            x["e"]["first"].alias("first"),
+            x["e"]["entity_type"].alias("entity_type"),
+            x["e"]["name"].alias("name"),
+            relevance(x["e"], x["t"]).alias("relevance"),
+        ),
+    )
+    best = F.slice(F.array_sort(rated), 1, MAX_ENTITIES)
+    # pinned: lambdas over a column that is still an expression would evaluate it per element
+    rows = pinned(staged).select(
+        "id", "title", "summary", "article_text", "text", F.posexplode(best).alias("at", "e")
     )
     low = F.lower(F.trim("e.name"))
     count = lambda column, part: occurrences(F.lower(column), part)

@@ -41,7 +41,8 @@ def pinned(df: DataFrame) -> DataFrame:
     """Stop later filters from being pushed into costly computed columns.
 
     Filter push-down copies the defining expression into the filter, so a long cascade or a Python
-    function would run once more per filter. A one-element explode keeps the column computed once.
+    function would run once more per filter; a lambda over such a column would run it per element.
+    A one-element explode keeps the column computed once per row.
     """
     return df.select(F.explode(F.array(F.struct(*df.columns))).alias("row")).select("row.*")
 

@@ -334,7 +334,7 @@ def m5(spark, folder):
 @catalogue.add(
     "m6_confidence_clamp",
     """WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value / 97 END AS own,
-      CASE WHEN event_id % 2 = 0 THEN NULL ELSE value / 300 END AS shared,
+      CASE WHEN event_id % 2 = 0 THEN NULL ELSE value / 311 END AS shared,
       CASE event_type WHEN 'view' THEN 'unclear' WHEN 'click' THEN 'center' WHEN 'error' THEN 'left' WHEN 'signup' THEN 'right' ELSE 'far_right' END AS label FROM events)
     SELECT event_id,
       round(least(greatest(0, least(1, coalesce(own, shared, CASE WHEN label = 'unclear' THEN 0.3 ELSE 0.5 END))), CASE WHEN label = 'unclear' THEN 0.6 ELSE 1 END), 3) AS confidence,
@@ -348,7 +348,7 @@ def m6(spark, folder):
         "CASE event_type WHEN 'view' THEN 'unclear' WHEN 'click' THEN 'center' WHEN 'error' THEN 'left' WHEN 'signup' THEN 'right' ELSE 'far_right' END"
     )
     own = F.when(F.col("event_id") % 3 != 0, F.col("value") / 97)
-    shared = F.when(F.col("event_id") % 2 != 0, F.col("value") / 300)
+    shared = F.when(F.col("event_id") % 2 != 0, F.col("value") / 311)
     e = tb.read_table(spark, folder, "events").select("event_id", own.alias("own"), shared.alias("shared"), label.alias("label"))
     confidence = ed.resolve_confidence(F.col("own"), F.col("shared"), F.col("label"), 0.5)
     return e.select("event_id", confidence.alias("confidence"), ed.resolve_bias_score(F.col("own") - 1, F.col("label")).alias("score"))

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.functions import text as tx
 
@@ -35,7 +36,7 @@ def first_meta(page: Column, name: str) -> Column:
     return tx.html_unescape(F.get(all_meta(page, name), F.lit(0)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _tag_text(groups: pd.Series) -> pd.Series:
     """Comma separated pieces, cleaned, without repeats (case ignored), first spelling kept."""
     import html
@@ -67,7 +68,7 @@ def json_ld_values(page: Column, key: str) -> Column:
     """Text values under `key` at any depth of the page's JSON-LD blocks. The depth is open,
     so the walk over one block is a small Arrow function; bad JSON gives nothing."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def find(blocks: pd.Series) -> pd.Series:
         import html
 
