@@ -151,7 +151,7 @@ def cluster_first_selection(
     place = F.struct((-F.unix_micros("last_at")).alias("t"), F.col("cluster"))
     by_size = Window.partitionBy("article_count").orderBy(place)
     fitting = whole.where(F.col("article_count") <= limit).withColumn("r", F.row_number().over(by_size)).where(
-        F.col("r") * F.col("article_count") <= limit
+        (F.col("r") <= max(1, limit // max(min_size, 1))) & (F.col("r") * F.col("article_count") <= limit)
     )
     sizes = fitting.agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), F.col("article_count").alias("n"), "cluster"))).alias("s"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken"))
