@@ -281,8 +281,7 @@ def choose(text: Column, dimension: str) -> Column:
 
 # --- job ---------------------------------------------------------------------------------------
 def _tone(name: str) -> Column:
-    hit = F.element_at(F.filter("tones", lambda t: t["key"] == name), 1)
-    return F.when(F.exists("tones", lambda t: t["key"] == name), hit["choice"])
+    return F.try_element_at("tone_map", F.lit(name))
 
 
 def _strength(*names: str) -> Column:
@@ -413,7 +412,9 @@ def _resolve(read: DataFrame, key: str) -> DataFrame:
         F.when(F.size("evidence_all") > EVIDENCE_CAP, F.lit("evidence_spans")),
     ))
     texts = F.array_compact(F.array(F.col("notes.value"), F.col("uncertainty_reason.value")))
-    staged = pinned(read.select(
+    stated = F.filter("tones", lambda t: t["choice"].isNotNull())
+    named = F.map_from_entries(F.transform(stated, lambda t: F.struct(t["key"], t["choice"])))
+    staged = pinned(read.withColumn("tone_map", named).select(
         "*",
         F.array_compact(framing).alias("framing_raw"),
         F.filter(evidence, lambda e: e["text"].isNotNull()).alias("spans_raw"),

@@ -13,7 +13,7 @@ from storyloom.operators import vectors as vc
 from storyloom.plans import sqltext as q
 from storyloom.plans import vocab
 from storyloom.plans.registry import Catalogue
-from storyloom.plans.text_queries import TAGS_SQL
+from storyloom.plans.text_queries import PHRASES_SQL, TAGS_SQL
 from storyloom.session import cut_lineage
 from storyloom.sources import tables as tb
 
@@ -184,11 +184,28 @@ def _neighbors(spark, folder):
     return cut_lineage(vc.nearest_neighbors(_vectors(spark, folder), 60))
 
 
-@catalogue.add("c2_candidate_pairs")
+C2_SQL = f"""WITH {q.ARTICLES}, {KNN_SQL.replace('rank <= 5', 'rank <= 60')},
+t AS (SELECT id, published_at, {TAGS_SQL} AS tags, list_distinct(list_filter(list_transform({PHRASES_SQL}, lambda p: lower(p)), lambda p: p <> '')) AS phrases FROM articles),
+p AS (SELECT a.id AS seed, b.id AS other, len(list_intersect(a.tags, b.tags)) AS nt, len(list_intersect(a.phrases, b.phrases)) AS np, greatest(0.0, 1 - {DAYS_SQL} / 7.0::DOUBLE) AS c
+  FROM t a JOIN t b ON a.id <> b.id WHERE {DAYS_SQL} <= 7),
+o AS (SELECT seed, other, 1 AS pri, 'temporal_window' AS origin, c AS s FROM p
+  UNION ALL SELECT seed, other, 2, 'shared_tag', nt + c FROM p WHERE nt > 0
+  UNION ALL SELECT seed, other, 5, 'lexical_neighbor', np + c FROM p WHERE np > 0
+  UNION ALL SELECT k.seed, k.other, 4, 'semantic_neighbor', greatest(0, k.sim) FROM knn k JOIN articles a ON a.id = k.seed JOIN articles b ON b.id = k.other WHERE {DAYS_SQL} <= 7),
+r AS (SELECT *, row_number() OVER (PARTITION BY seed, origin ORDER BY s DESC, other) AS r FROM o),
+f AS (SELECT seed, other, min((pri, r)) AS first, list(origin) AS origins FROM r WHERE r <= 20 GROUP BY seed, other),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY first) AS pos FROM f) WHERE pos <= 40)
+SELECT least(seed, other) AS left_id, greatest(seed, other) AS right_id, array_to_string(list_sort(list_distinct(flatten(list(origins)))), ',') AS origins, min(pos) AS rank FROM c GROUP BY ALL"""
+
+
+@catalogue.add("c2_candidate_pairs", C2_SQL)
 def c2(spark, folder):
-    rows = story_articles(spark, folder)
-    keyed = rows.select("id", "published_at", "tag_codes", "entity_slugs", F.col("key_phrases").alias("phrase_keys"))
-    found = pr.candidate_pairs(keyed, _neighbors(spark, folder))
+    """Four of the origins (the entity origin has no SQL twin; c3 and c7 use all five)."""
+    rows = cut_lineage(enrich.classify(tb.articles(spark, folder), vocab.ENRICH).select(
+        "id", "published_at", "tag_codes", F.array().cast("array<string>").alias("entity_slugs"),
+        F.array_distinct(F.transform("key_phrases", lambda p: F.lower(p))).alias("phrase_keys"),
+    ))
+    found = pr.candidate_pairs(rows, _neighbors(spark, folder))
     return found.select("left_id", "right_id", F.array_join("origins", ",").alias("origins"), "rank")
 
 
