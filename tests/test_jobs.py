@@ -22,7 +22,7 @@ def test_answers_of_many_shapes(spark):
         spark,
         {"article_type": "breaking news", "confidence": "high", "bias_label": "center-left", "bias_score": "-0.4", "tone_emotional": "neutral",
          "tone_target": "mixed", "framing_devices": ["security", "odd"], "evidence_spans": ["a quoted span"], "rationale": "A rationale about public policy."},
-        {"article_type": "opinion", "confidence": {"level": "odd", "score": 0.9}, "ideological_bias_framing": {"direction": "right", "confidence": 0.7},
+        {"article_type": "opinion", "confidence": {"value": "odd", "score": 0.9}, "ideological_bias_framing": {"direction": "right", "confidence": 0.7},
          "tone_dimensions": {"accusatory": "moderate"}, "framing_devices": {"conflict": True, "balance": "x"},
          "evidence_spans": {"text": "some words", "location": "titular"}, "notes": {"summary": "notes that are long enough to judge"}},
         {"article_type": "news"}, {"article_type": 5}, "no json",
@@ -72,8 +72,8 @@ def test_labelled_file_end_to_end(spark, tmp_path):
     row = ev.evaluate_clusters(members, gold).first()
     assert (row["precision"], row["recall"]) == (1.0, 1.0)
     assert stories.run_metrics(articles, pairs, members).first()["guarded_cluster_count"] == 3
-    sweep = {r["threshold"]: r["tp"] for r in ev.cluster_sweep(articles, pairs, gold, [0.55, 0.999]).collect()}
-    assert sweep == {0.55: 1, 0.999: 0}
+    sweep = {r["threshold"]: r["tp"] for r in ev.cluster_sweep(articles, pairs, gold, [0.55, 1.5]).collect()}
+    assert sweep == {0.55: 1, 1.5: 0}
 
 
 def test_sinks(spark, tmp_path):
