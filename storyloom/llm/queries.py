@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import bpe
+from storyloom.llm import bpe, decontam, exact, langid
+from storyloom.llm.common import crc_rest
 from storyloom.plans.registry import Catalogue
 
 catalogue = Catalogue()
@@ -14,6 +15,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@catalogue.add("op2_language")
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learnt from four fifths of them."""
+    docs = table(spark, folder, "documents")
+    held_out = crc_rest("doc_id", 5) == 0
+    found = langid.identify(docs, ["doc_id"], ~held_out)
+    return found.select("kept.doc_id", (crc_rest("kept.doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@catalogue.add("op4_decontamination", decontam.SQL)
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of documents that benchmark windows cover."""
+    return decontam.digests(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@catalogue.add("op7_exact_dedup", exact.SQL)
+def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of equal texts and the row of each that stays."""
+    return exact.groups(table(spark, folder, "documents")).drop("row")
+
+
 @catalogue.add("op8_bpe")
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and decoded text of the word-end BPE, as digests."""
