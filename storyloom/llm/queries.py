@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import bpe, decontam, exact, langid
+from storyloom.llm import bpe, decontam, exact, langid, near
 from storyloom.llm.common import crc_rest
 from storyloom.plans.registry import Catalogue
 
@@ -24,6 +24,12 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("kept.doc_id", (crc_rest("kept.doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+@catalogue.add("op3_near_dedup", near.SQL)
+def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles are alike."""
+    return near.groups(table(spark, folder, "documents"), width=2)
+
+
 @catalogue.add("op4_decontamination", decontam.SQL)
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words of documents that benchmark windows cover."""
