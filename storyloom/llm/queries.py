@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, decontam, exact, langid, near
+from storyloom.llm import bpe, decontam, exact, langid, licence, near, quality, sharding
 from storyloom.llm.common import crc_rest
 from storyloom.plans.registry import Catalogue
 
@@ -15,6 +16,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@catalogue.add("op1_quality")
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learnt from the labels of four fifths of them."""
+    found = quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"), ["doc_id"], crc_rest("doc_id", 5) != 0)
+    return found.select("kept.doc_id", (crc_rest("kept.doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @catalogue.add("op2_language")
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learnt from four fifths of them."""
@@ -36,6 +44,12 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.digests(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@catalogue.add("op6_licences", licence.SQL)
+def op6_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence of every document, its own or that of the nearest directory above."""
+    return licence.documents_licences(table(spark, folder, "documents"))
+
+
 @catalogue.add("op7_exact_dedup", exact.SQL)
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal texts and the row of each that stays."""
@@ -46,3 +60,9 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and decoded text of the word-end BPE, as digests."""
     return bpe.digests(table(spark, folder, "documents"))
+
+
+@catalogue.add("op10_sharding")
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """24 shards of equally many documents, equal texts together."""
+    return sharding.shard(table(spark, folder, "documents"), 24)
