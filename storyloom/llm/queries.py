@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, decontam, exact, langid, licence, near, quality, sharding
+from storyloom.llm import bpe, decontam, exact, langid, licence, near, quality, sharding, toxicity
 from storyloom.llm.common import crc_rest
 from storyloom.plans.registry import Catalogue
 
@@ -62,6 +62,13 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"))
 
 
+@catalogue.add("op9_toxicity")
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels of three quarters of them."""
+    found = toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"), ["doc_id"], crc_rest("doc_id", 4) != 2)
+    return found.select("kept.doc_id", (crc_rest("kept.doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @catalogue.add("op10_sharding")
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """24 shards of equally many documents, equal texts together."""
