@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, decontam, exact, langid, licence, near, quality, sharding, toxicity
+from storyloom.llm import bpe, decontam, exact, langid, licence, lm, near, quality, sharding, toxicity
 from storyloom.llm.common import crc_rest
 from storyloom.plans.registry import Catalogue
 
@@ -44,6 +44,12 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.digests(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@catalogue.add("op5_language_model")
+def op5_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """log10 probability of every document, learnt from nine tenths of them."""
+    return lm.score(table(spark, folder, "documents"), crc_rest("doc_id", 10) == 0, ["doc_id"]).select("kept.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @catalogue.add("op6_licences", licence.SQL)
 def op6_licences(spark: SparkSession, folder: str) -> DataFrame:
     """Licence of every document, its own or that of the nearest directory above."""
