@@ -9,37 +9,32 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 
-def words(text: str) -> tuple[str, ...]:
-    """Split a comma separated block into its terms, in order."""
-    return tuple(term.strip() for term in text.replace("\n", " ").split(",") if term.strip())
-
-
 # --- fixed values: text matching -------------------------------------------------------------
-HONORIFICS = words(
-    "presidente, presidenta, ministro, ministra, portavoz, señor, señora, sr, sra, don, doña"
+HONORIFICS = (
+    "presidente", "presidenta", "ministro", "ministra", "portavoz", "señor", "señora", "sr", "sra", "don", "doña",
 )
-STOPWORDS = words(
-    """a, al, ante, asi, como, con, contra, de, del, despues, dos, el, en, entre, esta, este,
-    ha, hoy, la, las, lo, los, mas, por, que, se, sin, sobre, su, sus, tras, un, una, uno,
-    varios, varias, ya"""
+STOPWORDS = (
+    "a", "al", "ante", "asi", "como", "con", "contra", "de", "del", "despues", "dos", "el", "en", "entre", "esta",
+    "este", "ha", "hoy", "la", "las", "lo", "los", "mas", "por", "que", "se", "sin", "sobre", "su", "sus", "tras", "un",
+    "una", "uno", "varios", "varias", "ya",
 )
-EVENT_TERMS = words(
-    """acuerdo, ajustes, anuncia, anuncian, anuncio, cierra, cierre, condiciones,
-    conversaciones, cuentas, exige, exigen, firma, negocia, negociacion, negociaciones, pacto,
-    presupuestario, presupuestaria, presupuestos, reclama, sella"""
+EVENT_TERMS = (
+    "acuerdo", "ajustes", "anuncia", "anuncian", "anuncio", "cierra", "cierre", "condiciones", "conversaciones",
+    "cuentas", "exige", "exigen", "firma", "negocia", "negociacion", "negociaciones", "pacto", "presupuestario",
+    "presupuestaria", "presupuestos", "reclama", "sella",
 )
-FOLLOWUP_MARKERS = words(
-    "ajustes, condiciones, despues, exige, exigen, reclama, reaccion, responde, siguen"
+FOLLOWUP_MARKERS = (
+    "ajustes", "condiciones", "despues", "exige", "exigen", "reclama", "reaccion", "responde", "siguen",
 )
-HEADLINE_NOISE = words("ultima, hora, claves, asi, asi queda, directo, en directo")
+HEADLINE_NOISE = ("ultima", "hora", "claves", "asi", "asi queda", "directo", "en directo")
 
 # --- fixed values: article types, first rule with a hit wins ----------------------------------
 ARTICLE_TYPE_RULES = {
-    "opinion": words("opinión, opinion, tribuna, columna, editorial"),
-    "analysis": words("análisis, analysis, claves, qué significa, radiografía"),
-    "interview": words("entrevista, preguntas y respuestas"),
-    "live_blog": words("última hora, directo, live"),
-    "explainer": words("explicado, explicador, qué es, cómo funciona"),
+    "opinion": ("opinión", "opinion", "tribuna", "columna", "editorial"),
+    "analysis": ("análisis", "analysis", "claves", "qué significa", "radiografía"),
+    "interview": ("entrevista", "preguntas y respuestas"),
+    "live_blog": ("última hora", "directo", "live"),
+    "explainer": ("explicado", "explicador", "qué es", "cómo funciona"),
 }
 
 # --- fixed values: tags, in rule order --------------------------------------------------------
@@ -69,85 +64,81 @@ SECTION_TAGS = {
     "deportes": "sports",
 }
 KEYWORD_TAGS = {
-    "elections": words("elecciones, campaña, voto, urnas"),
-    "justice": words("juez, jueza, tribunal, supremo, fiscalía, fiscalia"),
-    "corruption": words("corrupción, corrupcion, mordida, comisión, comision"),
-    "agreement_negotiation": words("acuerdo, negociación, negociacion, pacto"),
-    "statement_reaction": words("reacción, reaccion, responde, replica, dice"),
-    "policy_announcement": words("anuncia, anuncio, plan, medida, decreto"),
-    "protest_social_movement": words("manifestación, manifestacion, protesta, huelga"),
-    "security_crime": words("detenido, crimen, asesinato, robo, policía, policia"),
-    "war_conflict": words("guerra, ataque, bombardeo, frente"),
-    "international_eu": words("bruselas, ue, unión europea, union europea"),
-    "housing": words("vivienda, alquiler, hipoteca"),
-    "health": words("hospital, sanidad, médico, medico"),
-    "education": words("escuela, universidad, alumnos"),
-    "transport": words("tren, renfe, aeropuerto, metro"),
-    "energy": words("apagón, apagon, eléctrica, electrica, gas"),
-    "sports": words("liga, partido, gol, entrenador"),
+    "elections": ("elecciones", "campaña", "voto", "urnas"),
+    "justice": ("juez", "jueza", "tribunal", "supremo", "fiscalía", "fiscalia"),
+    "corruption": ("corrupción", "corrupcion", "mordida", "comisión", "comision"),
+    "agreement_negotiation": ("acuerdo", "negociación", "negociacion", "pacto"),
+    "statement_reaction": ("reacción", "reaccion", "responde", "replica", "dice"),
+    "policy_announcement": ("anuncia", "anuncio", "plan", "medida", "decreto"),
+    "protest_social_movement": ("manifestación", "manifestacion", "protesta", "huelga"),
+    "security_crime": ("detenido", "crimen", "asesinato", "robo", "policía", "policia"),
+    "war_conflict": ("guerra", "ataque", "bombardeo", "frente"),
+    "international_eu": ("bruselas", "ue", "unión europea", "union europea"),
+    "housing": ("vivienda", "alquiler", "hipoteca"),
+    "health": ("hospital", "sanidad", "médico", "medico"),
+    "education": ("escuela", "universidad", "alumnos"),
+    "transport": ("tren", "renfe", "aeropuerto", "metro"),
+    "energy": ("apagón", "apagon", "eléctrica", "electrica", "gas"),
+    "sports": ("liga", "partido", "gol", "entrenador"),
 }
-# code ; display name ; group ; description (sort order is 10, 20, 30, …)
-CANONICAL_TAGS = tuple(
-    tuple(cell.strip() for cell in line.split(";"))
-    for line in """
-politics_national ; Politics / National ; politics ; National politics and party competition
-politics_regional ; Politics / Regional ; politics ; Regional politics and autonomous communities
-politics_local ; Politics / Local ; politics ; Local government and municipal politics
-government ; Government ; politics ; Government actions and executive branch
-parliament ; Parliament ; politics ; Legislative chambers and parliamentary activity
-justice ; Justice ; politics ; Courts, judiciary, prosecutors and legal process
-elections ; Elections ; politics ; Elections, campaigns and voting
-public_policy ; Public policy ; politics ; Policy proposals and public administration
-corruption ; Corruption ; politics ; Corruption allegations and anti-corruption cases
-protest_social_movement ; Protest / Social movement ; politics ; Demonstrations, strikes and civic mobilization
-economy_macro ; Economy / Macro ; economy ; Macro economy, GDP, inflation and growth
-business_corporate ; Business / Corporate ; economy ; Corporate results, mergers and strategy
-housing ; Housing ; economy ; Housing market, rents and home policy
-energy ; Energy ; economy ; Energy policy, utilities and markets
-transport ; Transport ; economy ; Mobility, logistics, rail, air and roads
-labour_employment ; Labour / Employment ; economy ; Jobs, unions, labour disputes and unemployment
-health ; Health ; society ; Healthcare, hospitals and public health
-education ; Education ; society ; Schools, universities and education policy
-migration ; Migration ; society ; Migration, asylum and border issues
-security_crime ; Security / Crime ; society ; Crime, policing and public security
-environment ; Environment ; society ; Environment, biodiversity and pollution
-climate ; Climate ; society ; Climate change and climate response
-technology ; Technology ; society ; Technology, internet and digital policy
-media_information ; Media / Information ; society ; Media, journalism, misinformation and platforms
-culture ; Culture ; society ; Culture and cultural policy
-sports ; Sports ; society ; Sports and competitions
-international_eu ; International / EU ; international ; European Union institutions and policy
-international_diplomacy ; International / Diplomacy ; international ; Diplomacy and bilateral or multilateral relations
-war_conflict ; War / Conflict ; international ; Wars, invasions and armed conflict
-defense ; Defense ; international ; Defense policy and military activity
-humanitarian ; Humanitarian ; international ; Humanitarian crises and aid
-legislation ; Legislation ; story_form ; Bills, laws and legal reforms
-court_case ; Court case ; story_form ; Court cases and legal proceedings
-investigation ; Investigation ; story_form ; Investigations by prosecutors, police or watchdogs
-scandal ; Scandal ; story_form ; Political or institutional scandal
-agreement_negotiation ; Agreement / Negotiation ; story_form ; Negotiations, pacts and agreements
-accident_disaster ; Accident / Disaster ; story_form ; Accidents, disasters and emergencies
-election_campaign ; Election campaign ; story_form ; Campaign messaging and campaign trail
-statement_reaction ; Statement / Reaction ; story_form ; Statements, responses and political reactions
-policy_announcement ; Policy announcement ; story_form ; Announcements of public measures or plans
-data_report ; Data report ; story_form ; Surveys, reports and official data releases
-""".strip().splitlines()
+# code, display name, group; the sort order is 10, 20, 30, …
+CANONICAL_TAGS = (
+    ("politics_national", "Politics / National", "politics"),
+    ("politics_regional", "Politics / Regional", "politics"),
+    ("politics_local", "Politics / Local", "politics"),
+    ("government", "Government", "politics"),
+    ("parliament", "Parliament", "politics"),
+    ("justice", "Justice", "politics"),
+    ("elections", "Elections", "politics"),
+    ("public_policy", "Public policy", "politics"),
+    ("corruption", "Corruption", "politics"),
+    ("protest_social_movement", "Protest / Social movement", "politics"),
+    ("economy_macro", "Economy / Macro", "economy"),
+    ("business_corporate", "Business / Corporate", "economy"),
+    ("housing", "Housing", "economy"),
+    ("energy", "Energy", "economy"),
+    ("transport", "Transport", "economy"),
+    ("labour_employment", "Labour / Employment", "economy"),
+    ("health", "Health", "society"),
+    ("education", "Education", "society"),
+    ("migration", "Migration", "society"),
+    ("security_crime", "Security / Crime", "society"),
+    ("environment", "Environment", "society"),
+    ("climate", "Climate", "society"),
+    ("technology", "Technology", "society"),
+    ("media_information", "Media / Information", "society"),
+    ("culture", "Culture", "society"),
+    ("sports", "Sports", "society"),
+    ("international_eu", "International / EU", "international"),
+    ("international_diplomacy", "International / Diplomacy", "international"),
+    ("war_conflict", "War / Conflict", "international"),
+    ("defense", "Defense", "international"),
+    ("humanitarian", "Humanitarian", "international"),
+    ("legislation", "Legislation", "story_form"),
+    ("court_case", "Court case", "story_form"),
+    ("investigation", "Investigation", "story_form"),
+    ("scandal", "Scandal", "story_form"),
+    ("agreement_negotiation", "Agreement / Negotiation", "story_form"),
+    ("accident_disaster", "Accident / Disaster", "story_form"),
+    ("election_campaign", "Election campaign", "story_form"),
+    ("statement_reaction", "Statement / Reaction", "story_form"),
+    ("policy_announcement", "Policy announcement", "story_form"),
+    ("data_report", "Data report", "story_form"),
 )
 
 # --- fixed values: entities -------------------------------------------------------------------
 ENTITY_TERMS = {
-    "political_party": words("PSOE, PP, Sumar, Podemos, Vox, ERC, Junts, PNV, Bildu"),
-    "institution": words(
-        """Congreso, Senado, Gobierno, Fiscalía, Fiscalia, Tribunal Supremo, Generalitat,
-        Unión Europea, Union Europea, UE"""
+    "political_party": ("PSOE", "PP", "Sumar", "Podemos", "Vox", "ERC", "Junts", "PNV", "Bildu"),
+    "institution": (
+        "Congreso", "Senado", "Gobierno", "Fiscalía", "Fiscalia", "Tribunal Supremo", "Generalitat", "Unión Europea",
+        "Union Europea", "UE",
     ),
-    "organization": words("ONU, OTAN, RTVE, Renfe, Aemet"),
-    "region_city": words(
-        """Madrid, Barcelona, Catalunya, Cataluña, Galicia, Lugo, Valencia, Sevilla, Bilbao,
-        Bruselas"""
+    "organization": ("ONU", "OTAN", "RTVE", "Renfe", "Aemet"),
+    "region_city": (
+        "Madrid", "Barcelona", "Catalunya", "Cataluña", "Galicia", "Lugo", "Valencia", "Sevilla", "Bilbao", "Bruselas",
     ),
 }
-PERSON_ARTICLES = words("el, la, los, las")
+PERSON_ARTICLES = ("el", "la", "los", "las")
 # (type, lookup key, canonical name, aliases)
 ENTITY_ALIASES = (
     ("political_party", "psoe", "PSOE", ("Partido Socialista Obrero Español",)),
@@ -160,57 +151,57 @@ ENTITY_ALIASES = (
 )
 
 # --- fixed values: corpus selection -----------------------------------------------------------
-NATIONAL_TERMS = words(
-    """gobierno, congreso, senado, tribunal, supremo, constitucional, fiscal, minister, moncloa,
-    sanchez, sánchez, pp, psoe, vox, sumar, podemos, junts, erc, pnv, bildu, amnist, presupuest,
-    ley, decreto, renfe, aemet, ue, otan, onu"""
+NATIONAL_TERMS = (
+    "gobierno", "congreso", "senado", "tribunal", "supremo", "constitucional", "fiscal", "minister", "moncloa",
+    "sanchez", "sánchez", "pp", "psoe", "vox", "sumar", "podemos", "junts", "erc", "pnv", "bildu", "amnist",
+    "presupuest", "ley", "decreto", "renfe", "aemet", "ue", "otan", "onu",
 )
-EXCLUDED_TEXT = words(
-    """opinion, opinión, editorial, tribuna, deportes, fútbol, futbol, toros, loter, horoscopo,
-    horóscopo, televisión, television, gente, magazine, eps, babelia, viajes, viajar"""
+EXCLUDED_TEXT = (
+    "opinion", "opinión", "editorial", "tribuna", "deportes", "fútbol", "futbol", "toros", "loter", "horoscopo",
+    "horóscopo", "televisión", "television", "gente", "magazine", "eps", "babelia", "viajes", "viajar",
 )
-SOFT_LIFESTYLE = words("cultura, familia, beber, belleza, cine, televisión, television, gente")
-EXCLUDED_SECTIONS = words(
-    """opinion, opinión, editorial, tribuna, deportes, fútbol, futbol, toros, televisión,
-    television, gente, magazine, eps, babelia, viajes, viajar, recreo, moda, shopping, compras"""
+SOFT_LIFESTYLE = ("cultura", "familia", "beber", "belleza", "cine", "televisión", "television", "gente")
+EXCLUDED_SECTIONS = (
+    "opinion", "opinión", "editorial", "tribuna", "deportes", "fútbol", "futbol", "toros", "televisión", "television",
+    "gente", "magazine", "eps", "babelia", "viajes", "viajar", "recreo", "moda", "shopping", "compras",
 )
-EXCLUDED_PATHS = words("/topics/, /topic/, /temas/, /tema/, /autor/, /autores/, /firmas/")
-LOCALITY_PATHS = words(
-    """/andalucia/, /madrid/, /cataluna/, /catalunya/, /castilla, /galicia/, /illes-balears/,
-    /barcelona/, /sevilla/, /malaga/, /valencia/, /jaen/, /cordoba/"""
+EXCLUDED_PATHS = ("/topics/", "/topic/", "/temas/", "/tema/", "/autor/", "/autores/", "/firmas/")
+LOCALITY_PATHS = (
+    "/andalucia/", "/madrid/", "/cataluna/", "/catalunya/", "/castilla", "/galicia/", "/illes-balears/", "/barcelona/",
+    "/sevilla/", "/malaga/", "/valencia/", "/jaen/", "/cordoba/",
 )
 TOPIC_BUCKETS = {
-    "politics": words(
-        """politica, política, gobierno, congreso, senado, tribunal, fiscal, amnist, presupuest,
-        ley, decreto, eleccion"""
+    "politics": (
+        "politica", "política", "gobierno", "congreso", "senado", "tribunal", "fiscal", "amnist", "presupuest", "ley",
+        "decreto", "eleccion",
     ),
-    "society": words(
-        """espana, españa, nacional, sociedad, sanidad, salud, vivienda, educacion, educación,
-        seguridad, justicia, sucesos, migr"""
+    "society": (
+        "espana", "españa", "nacional", "sociedad", "sanidad", "salud", "vivienda", "educacion", "educación",
+        "seguridad", "justicia", "sucesos", "migr",
     ),
-    "international": words(
-        """internacional, europa, ue, otan, onu, gaza, israel, iran, irán, ucrania, rusia,
-        francia, alemania"""
+    "international": (
+        "internacional", "europa", "ue", "otan", "onu", "gaza", "israel", "iran", "irán", "ucrania", "rusia", "francia",
+        "alemania",
     ),
-    "economy": words(
-        """economia, economía, energia, energía, inflacion, inflación, empleo, alquiler,
-        impuestos, bce, banco central"""
+    "economy": (
+        "economia", "economía", "energia", "energía", "inflacion", "inflación", "empleo", "alquiler", "impuestos",
+        "bce", "banco central",
     ),
 }
 SOURCE_EXCLUDED_TEXT = {
-    "abc": words("futbol sala, mundial de atletismo, semana santa, parroquia"),
-    "elpais": words("cinco dias, televisión, gente, eps"),
-    "elmundo": words("toros, loc"),
-    "20minutos": words("sueldazo, once, comprobar, tiempo hará, aemet avanza"),
-    "eldiario": words("opinion, opinión, blogs, vertele, consumoclaro"),
-    "lavanguardia": words("tribuna, brújula para un mundo extraño"),
+    "abc": ("futbol sala", "mundial de atletismo", "semana santa", "parroquia"),
+    "elpais": ("cinco dias", "televisión", "gente", "eps"),
+    "elmundo": ("toros", "loc"),
+    "20minutos": ("sueldazo", "once", "comprobar", "tiempo hará", "aemet avanza"),
+    "eldiario": ("opinion", "opinión", "blogs", "vertele", "consumoclaro"),
+    "lavanguardia": ("tribuna", "brújula para un mundo extraño"),
 }
 SOURCE_EXCLUDED_SECTIONS = {
-    "abc": words("recreo, viajar"),
-    "20minutos": words("gonzoo, capaces, moda, aplicaciones, juegos"),
-    "eldiario": words("spin, the guardian, la gomera ahora, vertele, consumoclaro"),
-    "elpais": words("cultura"),
-    "lavanguardia": words("opinión, opinion"),
+    "abc": ("recreo", "viajar"),
+    "20minutos": ("gonzoo", "capaces", "moda", "aplicaciones", "juegos"),
+    "eldiario": ("spin", "the guardian", "la gomera ahora", "vertele", "consumoclaro"),
+    "elpais": ("cultura",),
+    "lavanguardia": ("opinión", "opinion"),
 }
 # (source, path term, bonus)
 SOURCE_PATH_BONUS = (
@@ -220,29 +211,29 @@ SOURCE_PATH_BONUS = (
 )
 
 # --- fixed values: URL discovery --------------------------------------------------------------
-NOISE_URL_FRAGMENTS = words(
-    """/deportes/, /motor/, /tiempo/, /meteorologia/, /el-tiempo/, /aemet/, /loterias/,
-    /horoscopo/, /shopping/, /compras/, /descuentos/, /branded-content/, /brandstudio/, /publi/,
-    /promociones/, /newsletter/, /video/"""
+NOISE_URL_FRAGMENTS = (
+    "/deportes/", "/motor/", "/tiempo/", "/meteorologia/", "/el-tiempo/", "/aemet/", "/loterias/", "/horoscopo/",
+    "/shopping/", "/compras/", "/descuentos/", "/branded-content/", "/brandstudio/", "/publi/", "/promociones/",
+    "/newsletter/", "/video/",
 )
-ASSET_SUFFIXES = words(
-    """.jpg, .jpeg, .png, .webp, .gif, .svg, .ico, .css, .js, .json, .xml, .pdf, .mp4, .mp3,
-    .woff, .woff2, .ttf"""
+ASSET_SUFFIXES = (
+    ".jpg", ".jpeg", ".png", ".webp", ".gif", ".svg", ".ico", ".css", ".js", ".json", ".xml", ".pdf", ".mp4", ".mp3",
+    ".woff", ".woff2", ".ttf",
 )
-NATIONAL_URL_SIGNALS = words(
-    """gobierno, congreso, senado, tribunal, supremo, constitucional, fiscal, fiscalia, fiscalía,
-    ministerio, moncloa, sánchez, sanchez, pp, psoe, vox, sumar, podemos, junts, erc, pnv, bildu,
-    amnist, presupuesto, presupuest, ley, decreto, policía, policia, guardia civil, aemet, renfe,
-    onu, otan, ue, bruselas, irán, iran, israel, gaza, ucran, rusia"""
+NATIONAL_URL_SIGNALS = (
+    "gobierno", "congreso", "senado", "tribunal", "supremo", "constitucional", "fiscal", "fiscalia", "fiscalía",
+    "ministerio", "moncloa", "sánchez", "sanchez", "pp", "psoe", "vox", "sumar", "podemos", "junts", "erc", "pnv",
+    "bildu", "amnist", "presupuesto", "presupuest", "ley", "decreto", "policía", "policia", "guardia civil", "aemet",
+    "renfe", "onu", "otan", "ue", "bruselas", "irán", "iran", "israel", "gaza", "ucran", "rusia",
 )
 
 # --- fixed values: recurring series ------------------------------------------------------------
-LOTTERY_GAMES = words("bonoloto, primitiva, euromillones, once")
-PROCESSION_DAYS = words(
-    """domingo de ramos, lunes santo, martes santo, miercoles santo, jueves santo, madrugada,
-    viernes santo, domingo de resurreccion"""
+LOTTERY_GAMES = ("bonoloto", "primitiva", "euromillones", "once")
+PROCESSION_DAYS = (
+    "domingo de ramos", "lunes santo", "martes santo", "miercoles santo", "jueves santo", "madrugada", "viernes santo",
+    "domingo de resurreccion",
 )
-HOUSING_QUESTION_TERMS = words("alquiler, casero, inquilino, hipoteca, vivienda, local")
+HOUSING_QUESTION_TERMS = ("alquiler", "casero", "inquilino", "hipoteca", "vivienda", "local")
 
 
 @dataclass(frozen=True)

@@ -27,6 +27,8 @@ FIT_ROWS = 400
 SPAN = 48
 #: Probability of a character that no piece covers, and the least probability of any piece.
 FLOOR = 1e-6
+#: Multiplier of the hash of substrings.
+MULTIPLIER = 0x100000001B3
 #: Rounds of expectation maximisation.
 ROUNDS = 4
 #: Words that a task remembers; the memory is emptied when full, results don't depend on it.
@@ -46,7 +48,8 @@ def vocabulary(path: str) -> dict[str, int]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(model.get_piece_size())
     pieces = [model.id_to_piece(i) for i in ids if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))]
-    return {p: i for i, p in enumerate(dict.fromkeys(p.lower() for p in pieces))}
+    # words hold the mark of a word start in front only
+    return {p: i for i, p in enumerate(dict.fromkeys(p.lower() for p in pieces if "▁" not in p[1:]))}
 
 
 def words_of(text: str | None) -> list[str]:
@@ -62,24 +65,75 @@ def words_of(text: str | None) -> list[str]:
     return out
 
 
+class Pieces:
+    """The vocabulary as hash tables over arrays, so that all substrings of many words are looked up at once."""
+
+    SLOTS = 22
+
+    def __init__(self, ids: dict[str, int]):
+        self.size, self.longest = len(ids), max(map(len, ids))
+        values = {self.hash(p): i for p, i in ids.items()}
+        if len(values) < len(ids):
+            raise ValueError("two pieces share a hash")
+        keys, numbers = np.array(list(values), np.uint64), np.array(list(values.values()), np.int32)
+        self.tables = []
+        while len(keys):
+            # what meets in a slot goes on to a further table
+            slots = self.slots(keys, len(self.tables))
+            _, first = np.unique(slots, return_index=True)
+            held, piece = np.zeros(1 << self.SLOTS, np.uint64), np.full(1 << self.SLOTS, -1, np.int32)
+            held[slots[first]], piece[slots[first]] = keys[first], numbers[first]
+            self.tables.append((held, piece))
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, numbers = keys[rest], numbers[rest]
+
+    @staticmethod
+    def hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * MULTIPLIER + ord(c) + 1) % (1 << 64)
+        return h
+
+    def slots(self, keys: np.ndarray, level: int) -> np.ndarray:
+        return ((keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * level) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def numbers(self, keys: np.ndarray) -> np.ndarray:
+        """Piece of each key, -1 without one."""
+        out = np.full(len(keys), -1, np.int32)
+        for level, (held, piece) in enumerate(self.tables):
+            slots = self.slots(keys, level)
+            same = (held[slots] == keys) & (piece[slots] >= 0)
+            out[same] = piece[slots[same]]
+        return out
+
+
 class Lattice:
     """The edges (from, to, piece) of many words, sorted by the position where they end."""
 
-    def __init__(self, words: list[str], ids: dict[str, int], longest: int):
-        unknown = len(ids)
+    def __init__(self, words: list[str], pieces: Pieces):
+        marked = ["▁" + w for w in words]
+        codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        self.lengths = np.array([len(w) for w in marked], np.int32)
+        of = np.repeat(np.arange(len(words), dtype=np.int32), self.lengths)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        left = self.lengths[of] - place  # characters from here to the end of the word
         word, start, end, piece = [], [], [], []
-        for w, text in enumerate(words):
-            text = "▁" + text
-            for a in range(len(text)):
-                for b in range(a + 1, min(a + longest, len(text)) + 1):
-                    p = ids.get(text[a:b])
-                    if p is not None:
-                        word.append(w), start.append(a), end.append(b), piece.append(p)
-                    elif b == a + 1:
-                        word.append(w), start.append(a), end.append(b), piece.append(unknown)
-        order = np.argsort(np.array(end, np.int32), kind="stable")
-        self.word, self.start, self.end, self.piece = (np.array(x, np.int32)[order] for x in (word, start, end, piece))
-        self.lengths = np.array([len(w) + 1 for w in words], np.int32)
+        here, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        for n in range(1, min(pieces.longest, int(self.lengths.max(initial=0))) + 1):
+            stay = left[here] >= n
+            here, h = here[stay], h[stay] * np.uint64(MULTIPLIER) + codes[here[stay] + n - 1]
+            found = pieces.numbers(h)
+            if n == 1:
+                found[found < 0] = pieces.size
+            hit = found >= 0
+            word.append(of[here[hit]])
+            start.append(place[here[hit]])
+            end.append(place[here[hit]] + n)
+            piece.append(found[hit])
+        word, start, end, piece = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (word, start, end, piece))
+        order = np.argsort(end.astype(np.int16), kind="stable")
+        self.word, self.start, self.end, self.piece = word[order], start[order], end[order], piece[order]
         self.width = int(self.lengths.max(initial=0)) + 1
         self.cuts = np.searchsorted(self.end, np.arange(self.width + 1))
 
@@ -111,12 +165,12 @@ class Lattice:
 
 def fit(counts: dict[str, Counter], ids: dict[str, int], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities (languages x pieces and the unknown one)."""
-    langs, longest = sorted(counts), max(map(len, ids))
+    langs, pieces = sorted(counts), Pieces(ids)
     chances = np.zeros((len(langs), len(ids) + 1))
     for k, lang in enumerate(langs):
         words = list(counts[lang])
         times = np.array([counts[lang][w] for w in words], float)
-        lattice = Lattice(words, ids, longest)
+        lattice = Lattice(words, pieces)
         p = np.full(len(ids) + 1, 1 / len(ids))
         for _ in range(rounds if words else 0):
             uses = lattice.expected(p, times)
@@ -128,7 +182,7 @@ def fit(counts: dict[str, Counter], ids: dict[str, int], rounds: int = ROUNDS) -
 
 class Scorer:
     def __init__(self, langs: list[str], chances: np.ndarray, ids: dict[str, int]):
-        self.langs, self.chances, self.ids, self.longest = langs, chances, ids, max(map(len, ids))
+        self.langs, self.chances, self.pieces = langs, chances, Pieces(ids)
         self.row: dict[str, int] = {}
         self.logs = np.zeros((0, len(langs)))
 
@@ -141,7 +195,7 @@ class Scorer:
             self.logs = self.logs[:0]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            lattice = Lattice(part, self.ids, self.longest)
+            lattice = Lattice(part, self.pieces)
             logs = np.stack([np.log(lattice.total(lattice.forward(c))) for c in self.chances], 1)
             self.row |= {w: len(self.row) + i for i, w in enumerate(part)}
             self.logs = np.concatenate([self.logs, logs])

@@ -70,7 +70,7 @@ def unknown_tags(rows: DataFrame, codes: str, tags: DataFrame) -> DataFrame:
 
 
 def canonical_tags(spark: SparkSession) -> DataFrame:
-    rows = [(i, code, name, group, text, 10 * i) for i, (code, name, group, text) in enumerate(lx.CANONICAL_TAGS, 1)]
+    rows = [(i, code, name, group, f"Articles about: {name}", 10 * i) for i, (code, name, group) in enumerate(lx.CANONICAL_TAGS, 1)]
     return spark.createDataFrame(
         rows, "tag_id int, tag_code string, display_name string, tag_group string, description string, sort_order int"
     )
@@ -111,12 +111,15 @@ def extract_entities(articles: DataFrame, rules: lx.EnrichRules = lx.EnrichRules
     head_of = lambda name: F.lower(F.split(name, r"\s+")[0])
     groups.append(hits_of("person", F.filter(people, lambda n: ~F.array_contains(skip, head_of(n)))))
     staged = (
-        articles.select("id", "title", "summary", "article_text", text.alias("text"))
+        articles.select("id", "title", F.lower("title").alias("low_title"), F.lower("summary").alias("low_summary"), F.lower("article_text").alias("low_body"), text.alias("text"))
         .withColumn("hits", F.concat(*groups))
         .where(F.size("hits") > 0)
+        .withColumn("low", F.lower("text"))
         .withColumn("keys", F.transform("hits", lambda h: F.concat_ws("|", h["entity_type"], F.lower(h["name"]))))
         .withColumn("back", F.reverse("keys"))
-        .withColumn("tokens", F.regexp_extract_all(F.lower("text"), F.lit(f"({tx.WORD})"), F.lit(1)))
+        # words with a blank on both sides, so that a word is counted by a plain search
+        .withColumn("tokens", F.concat(F.lit(" "), F.array_join(F.regexp_extract_all("low", F.lit(f"({tx.WORD})"), F.lit(1)), "  "), F.lit(" ")))
+        .drop("text")
     )
 
     # each step below is one array pass, so nothing is evaluated twice per entity
@@ -147,7 +150,7 @@ def extract_entities(articles: DataFrame, rules: lx.EnrichRules = lx.EnrichRules
         headed,
         lambda x: F.struct(
             (-relevance(x["e"], x["t"])).alias("worst"),
-            (-F.size(F.filter("tokens", lambda w: w == x["head"]))).alias("rare"),
+            (-occurrences(F.col("tokens"), F.concat(F.lit(" "), x["head"], F.lit(" ")))).alias("rare"),
             x["e"]["first"].alias("first"),
             x["e"]["entity_type"].alias("entity_type"),
             x["e"]["name"].alias("name"),
@@ -155,17 +158,18 @@ def extract_entities(articles: DataFrame, rules: lx.EnrichRules = lx.EnrichRules
         ),
     )
     best = F.slice(F.array_sort(rated), 1, MAX_ENTITIES)
+
+    def counted(e):
+        part = F.lower(F.trim(e["name"]))
+        return F.struct(
+            e["entity_type"].alias("entity_type"), e["name"].alias("name"), e["relevance"].alias("relevance"),
+            F.greatest(occurrences(F.col("low"), part), F.lit(1)).alias("n"), occurrences(F.col("low_title"), part).alias("nt"),
+            occurrences(F.col("low_summary"), part).alias("ns"), occurrences(F.col("low_body"), part).alias("nb"),
+        )
+
     # pinned: lambdas over a column that is still an expression would evaluate it per element
-    rows = pinned(staged).select(
-        "id", "title", "summary", "article_text", "text", F.posexplode(best).alias("at", "e")
-    )
-    low = F.lower(F.trim("e.name"))
-    count = lambda column, part: occurrences(F.lower(column), part)
-    return rows.select(
-        "id", "e.entity_type", "e.name", "e.relevance", (F.col("at") + 1).alias("place"),
-        F.greatest(count("text", low), F.lit(1)).alias("n"),
-        count("title", low).alias("nt"), count("summary", low).alias("ns"), count("article_text", low).alias("nb"),
-    )
+    rows = pinned(staged).select("id", F.posexplode(F.transform(best, counted)).alias("at", "e"))
+    return rows.select("id", "e.entity_type", "e.name", "e.relevance", (F.col("at") + 1).alias("place"), "e.n", "e.nt", "e.ns", "e.nb")
 
 
 def canonicalize(entities: DataFrame, rules: lx.EnrichRules = lx.EnrichRules()) -> DataFrame:

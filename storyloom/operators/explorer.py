@@ -121,8 +121,8 @@ def distinct_values(rows: DataFrame, column: str) -> DataFrame:
 
 
 def detail(article_id: int, rows: DataFrame, neighbors: DataFrame, story_members: DataFrame, k: int = 5) -> DataFrame:
-    """One article with its nearest articles and the stories it belongs to."""
-    near = neighbors.where((F.col("seed") == article_id) & (F.col("rank") <= k)).agg(
+    """One article with its nearest articles (`neighbors`: those of this article) and the stories it belongs to."""
+    near = neighbors.where(F.col("rank") <= k).agg(
         F.array_sort(F.collect_list(F.struct("rank", "other", "similarity"))).alias("neighbors")
     )
     told = story_members.where(F.col("id") == article_id).agg(F.array_sort(F.collect_list("cluster")).alias("stories"))

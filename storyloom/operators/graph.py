@@ -1,4 +1,4 @@
-"""Connected components on edge tables, and the guarded closure of story edges."""
+"""Connected components on edge tables."""
 
 from __future__ import annotations
 
@@ -9,40 +9,39 @@ from pyspark.sql import functions as F
 
 from storyloom.session import cut_lineage
 
-MAX_ROUNDS = 60
-
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(id, component): smallest id reachable from each node that has an edge.
+    """(id, component): smallest id reachable from each node that has an edge; ids of any type with an order.
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014): each round hooks nodes to
-    the smallest neighbour, so a long chain shrinks by a constant factor. Minima are aggregates
-    that combine before the shuffle, so a hub node costs no more than others, and every round is
-    written to reliable storage.
+    Each round hooks every node to its smallest neighbour, follows the pointers to their ends (each step doubles
+    their reach) and contracts the graph, which at least halves the nodes that still have an edge. It ends when no
+    edge is left. Minima combine before the shuffle, so a hub costs no more than others, and every round is written
+    to shared storage.
     """
-    pair = edges.where(F.col(src) != F.col(dst)).select(
-        F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")
-    )
-    current = cut_lineage(pair.distinct())
-    before = None
-    for _ in range(MAX_ROUNDS):
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
-        large = both.join(smallest, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(
-            F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))
-        )).alias("e")).select("e.*").where("u <> v").distinct()
-        current = cut_lineage(small)
-        state = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError("connected components did not settle")
-    roots = current.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
-    return current.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    rest = cut_lineage(edges.where(F.col(src) != F.col(dst)).select(F.col(src).alias("u"), F.col(dst).alias("v")).distinct())
+    labels, n, known = None, rest.count(), 0
+    while n:
+        both = rest.unionByName(rest.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        point = cut_lineage(both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("id"), F.least("u", "low").alias("to")), 2 * n)
+        moving = True
+        while moving:
+            onward = point.select(F.col("id").alias("to"), F.col("to").alias("next"))
+            jumped = cut_lineage(point.join(onward, "to").select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), 2 * n)
+            moving = not jumped.where("moved").isEmpty()
+            point = jumped.select("id", "to")
+        if labels is None:
+            labels, known = point.select("id", F.col("to").alias("component")), 2 * n
+        else:
+            # the nodes of a later round are the components of the rounds before
+            onward = point.select(F.col("id").alias("component"), "to")
+            labels = cut_lineage(labels.join(onward, "component", "left").select("id", F.coalesce("to", "component").alias("component")), known)
+        ends = [point.select(F.col("id").alias(k), F.col("to").alias(f"r{k}")) for k in ("u", "v")]
+        joined = rest.join(ends[0], "u").join(ends[1], "v").where("ru <> rv")
+        rest = cut_lineage(joined.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), n)
+        n = rest.count()
+    if labels is None:
+        return rest.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return labels
 
 
 def with_singletons(nodes: DataFrame, components: DataFrame, key: str = "id") -> DataFrame:
@@ -54,16 +53,9 @@ def with_singletons(nodes: DataFrame, components: DataFrame, key: str = "id") ->
 def components_by_level(edges: DataFrame, levels: Sequence[str], src: str = "src", dst: str = "dst") -> DataFrame:
     """Components of several edge sets in one run: (level…, id, component).
 
-    `edges` carries level columns; nodes of different levels never touch. Composite node ids are
-    dense numbers, so that one component run serves all levels.
+    `edges` carries level columns; a node is the struct of its levels and its id, so nodes of different levels
+    never touch and one run serves all levels.
     """
-    ends = edges.select(*levels, F.explode(F.array(src, dst)).alias("id")).distinct()
-    node = F.xxhash64(*levels, "id")
-    keyed = edges.select(
-        F.xxhash64(*levels, src).alias("src"), F.xxhash64(*levels, dst).alias("dst")
-    )
-    found = connected_components(keyed)
-    named = ends.withColumn("node", node)
-    members = named.join(found.withColumnRenamed("id", "node"), "node")
-    smallest = members.groupBy(*levels, "component").agg(F.min("id").alias("low"))
-    return members.join(smallest, [*levels, "component"]).select(*levels, "id", F.col("low").alias("component"))
+    node = lambda c: F.struct(*levels, F.col(c).alias("id"))
+    found = connected_components(edges.select(node(src).alias("src"), node(dst).alias("dst")))
+    return found.select(*[F.col(f"id.{c}").alias(c) for c in levels], F.col("id.id").alias("id"), F.col("component.id").alias("component"))

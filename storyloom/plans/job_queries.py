@@ -136,7 +136,7 @@ def l6(spark, folder):
 
     articles = tb.articles(spark, folder).select("id", "title", F.substring("article_text", 1, 400).alias("excerpt"))
     told = articles.select("id", (F.col("id") % 50).alias("cluster"))
-    row = detail(17, articles, _knn(spark, folder), told)
+    row = detail(17, articles, vc.nearest_to(_vectors(spark, folder), 17, 5), told)
     flat = lambda c, f: F.array_join(F.transform(c, f), ",").alias(c)
     return row.select("id", "title", "excerpt", flat("neighbors", lambda n: n["other"].cast("string")), flat("stories", lambda s: s.cast("string")))
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 ARTICLES = """
 articles AS (
   SELECT doc_id AS id, source,
-         trim(substring(split_part(text, '.', 1), 1, 160)) AS title,
+         trim(split_part(text, '.', 1)) AS title,
          'https://' || source || '.example.com/' || lang || '/' || doc_id AS url,
          TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id * 37 % 43200 AS BIGINT)) AS published_at,
          lang AS section, '' AS author,
-         trim(substring(split_part(text, '.', 2), 1, 400)) AS summary,
+         trim(split_part(text, '.', 2)) AS summary,
          text AS article_text, '' AS tags
   FROM documents)"""
 

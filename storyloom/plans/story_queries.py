@@ -69,17 +69,17 @@ def jn5(spark, folder):
 
 @catalogue.add("jn6_knn_approximate")
 def jn6(spark, folder):
-    return vc.nearest_neighbors(_vectors(spark, folder), 5, probes=6).select("seed", "other", F.round("similarity", 6).alias("similarity"), "rank")
+    return vc.nearest_neighbors(_vectors(spark, folder), 5, probes=16).select("seed", "other", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @catalogue.add(
     "jn7_semantic_in_window",
-    f"""WITH {q.ARTICLES}, {KNN_SQL} SELECT k.seed, k.other, round(greatest(0, sim), 6) AS s FROM knn k
+    f"""WITH {q.ARTICLES}, {KNN_SQL.replace('rank <= 5', 'rank <= 60')} SELECT k.seed, k.other, round(greatest(0, sim), 6) AS s FROM knn k
     JOIN articles a ON a.id = k.seed JOIN articles b ON b.id = k.other WHERE {DAYS_SQL} <= 7""",
 )
 def jn7(spark, folder):
     rows = tb.articles(spark, folder).select("id", "published_at")
-    near = pr.semantic_candidates(_knn(spark, folder), rows, pr.CandidateLimits())
+    near = pr.semantic_candidates(_knn(spark, folder, 60), rows, pr.CandidateLimits())
     return near.select("seed", "other", F.round("s", 6).alias("s"))
 
 
@@ -213,7 +213,7 @@ def c2(spark, folder):
 def c2_counts(spark, folder):
     rows = story_articles(spark, folder)
     keyed = rows.select("id", "published_at", "tag_codes", "entity_slugs", F.col("key_phrases").alias("phrase_keys"))
-    return pr.origin_counts(pr.candidate_pairs(keyed, None, pr.HIGH_RECALL))
+    return pr.origin_counts(pr.candidate_pairs(keyed, _knn(spark, folder, pr.HIGH_RECALL.semantic_fetch), pr.HIGH_RECALL))
 
 
 @catalogue.add("c3_pair_scores")
@@ -227,7 +227,7 @@ def c3(spark, folder):
 
 @catalogue.add("c4_edge_classes")
 def c4(spark, folder):
-    rows = stories.scored_pairs(story_articles(spark, folder), None, terms=vocab.TERMS).where(sc.accepted(0.55))
+    rows = stories.scored_pairs(story_articles(spark, folder), _neighbors(spark, folder), terms=vocab.TERMS).where(sc.accepted(0.55))
     return rows.groupBy(sc.edge_class().alias("edge_class")).agg(F.count(F.lit(1)).alias("pairs"))
 
 

@@ -1,9 +1,10 @@
-"""Session settings shared by tests, bench and entry points."""
+"""Session settings shared by tests, bench and entry points, and tables in shared storage."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,7 +40,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can read")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise on reliable storage, so that a lost executor replays from files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def work_root(spark: SparkSession) -> str:
+    """The folder of this application in shared storage."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        ensure_checkpoint_dir(spark)
+        configured = spark.sparkContext.getCheckpointDir()
+    return f"{configured.rstrip('/')}/storyloom-{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the storage that driver and executors share."""
+    return f"{work_root(spark)}/{uuid.uuid4().hex}"
+
+
+#: Rows that one task writes where the number of rows is known.
+ROWS_PER_FILE = 50_000
+
+
+def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write as Parquet to shared storage and read again: a lost executor replays from files, readers take the columns they use.
+
+    rows: about how many there are, if known; few rows are written by few tasks.
+    """
+    path = shared_folder(df.sparkSession)
+    if rows is not None:
+        tasks = max(1, rows // ROWS_PER_FILE)
+        if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(tasks)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Delete all that this application wrote to shared storage; call it when its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

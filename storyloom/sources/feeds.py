@@ -53,9 +53,9 @@ pair_labels array<struct<left_article_id: bigint, right_article_id: bigint, labe
 gold_clusters array<array<bigint>>"""
 
 
-def labelled_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(articles, pair labels, gold clusters) of a labelled JSON file."""
-    data = spark.read.schema(LABELLED_SCHEMA).json(path, multiLine=True)
+def labelled_dataset(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(articles, pair labels, gold clusters) of a labelled JSON file, or of files with one dataset a line."""
+    data = spark.read.schema(LABELLED_SCHEMA).json(path, multiLine=not lines)
     rows = data.select(F.explode("articles").alias("a")).select(
         "a.article.*", "a.analysis.article_type", "a.tag_codes", "a.entity_slugs", "a.key_phrases"
     )

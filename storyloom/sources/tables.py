@@ -32,18 +32,18 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def articles_view(documents: DataFrame) -> DataFrame:
     """Articles from documents: first sentence is the title, second the summary."""
     doc = F.col("doc_id")
-    sentence = lambda n, size: F.trim(F.substring(F.split_part("text", F.lit("."), F.lit(n)), 1, size))
+    sentence = lambda n: F.trim(F.split_part("text", F.lit("."), F.lit(n)))
     return documents.select(
         doc.alias("id"),
         "source",
-        sentence(1, 160).alias("title"),
+        sentence(1).alias("title"),
         F.concat(
             F.lit("https://"), "source", F.lit(".example.com/"), "lang", F.lit("/"), doc.cast("string")
         ).alias("url"),
         F.timestamp_seconds(F.lit(VIEW_EPOCH) + (doc * 37 % VIEW_MINUTES) * 60).alias("published_at"),
         F.col("lang").alias("section"),
         F.lit("").alias("author"),
-        sentence(2, 400).alias("summary"),
+        sentence(2).alias("summary"),
         F.col("text").alias("article_text"),
         F.lit("").alias("tags"),
     )
