@@ -2,38 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from storyloom.session import ensure_checkpoint_dir
+from storyloom.session import cut_lineage as stored  # noqa: F401  the operators take it from here
 
 #: UTF-8 bytes of text that a task works on at a time; a longer text is a piece of its own.
 PIECE_BYTES = 2_000_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the storage that driver and executors share (spark.checkpoint.dir)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        ensure_checkpoint_dir(spark)
-        configured = spark.sparkContext.getCheckpointDir()
-    return f"{configured.rstrip('/')}/storyloom-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write to the shared folder as Parquet and read again: a lost executor replays from files."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of at most `limit` bytes of text each (or one row)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

@@ -7,7 +7,7 @@
    sketches differ too much are dropped, the rest is confirmed on the full shingle sets.
 4. Links join to components. Keys whose rows still lie in several components are searched to the end: rows outside
    the largest component meet all blocks of the key's rows, and pairs of different components whose sketches agree
-   are confirmed as well. So no link between rows that share a key is lost, and no group is paired out.
+   are compared inside these meetings. So no link between rows that share a key is lost, and no group is paired out.
 
 At similarity 0.8 two sets share no key with probability below 1e-6, and a sketch rejects them below 1e-6.
 
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import map_texts, stored
+from storyloom.operators.graph import connected_components
 
 BANDS, ROWS = 48, 6
 #: Bits of an odd sketch, and the most in which linked sets may differ. 0.2 of 288 samples differing make about 103
@@ -33,6 +34,8 @@ SKETCH_BITS, FAR = 1024, 170
 CACHED = 65_536
 #: Rows of a band key that form a block of the search to the end.
 BLOCK = 256
+#: Ids of rows in question that are broadcast to find their texts, at most.
+FEW = 1_000_000
 
 
 class WordHashes(dict):
@@ -145,9 +148,9 @@ def differing(a: Column, b: Column) -> Column:
     return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, width: int, percent: int, text: str = "text") -> DataFrame:
-    """The pairs (a, b) of rows whose full shingle sets are similar enough; sets are made for the rows in question only."""
-    wanted = stored(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct().join(rows.select("row", "doc_id", "set_key"), "row"))
+def shingle_sets(wanted: DataFrame, rows: DataFrame, docs: DataFrame, width: int, text: str = "text") -> DataFrame:
+    """(row, items) of the wanted rows, made from their texts anew and kept in shared files."""
+    named = stored(wanted.join(rows.select("row", "doc_id", "set_key"), "row"))
 
     def make():
         hashes = WordHashes()
@@ -162,11 +165,18 @@ def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, width: int, pe
 
         return work
 
-    ids = wanted.select(F.col("doc_id").alias("_id"))
+    ids = named.select(F.col("doc_id").alias("_id")).distinct()
+    if named.count() <= FEW:
+        ids = F.broadcast(ids)  # at most FEW numbers; beyond that the texts are shuffled to them
     texts = docs.select("doc_id", F.col(text).alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     made = map_texts(texts, "text", ["doc_id"], make, "set_key string, items array<long>")
-    sets = made.select(F.col("kept.doc_id").alias("_id"), "set_key", "items").join(wanted, ["set_key"]).filter(F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = stored(sets.select("row", "items").dropDuplicates(["row"]))
+    sets = made.select(F.col("kept.doc_id").alias("_id"), "set_key", "items").join(named, ["set_key"]).filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+    return stored(sets.select("row", "items").dropDuplicates(["row"]))
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, width: int, percent: int, text: str = "text") -> DataFrame:
+    """The pairs (a, b) of rows whose full shingle sets are similar enough; sets are made for the rows in question only."""
+    sets = shingle_sets(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), rows, docs, width, text)
     left = pairs.join(sets.select(F.col("row").alias("a"), F.col("items").alias("x")), "a")
     both = left.join(sets.select(F.col("row").alias("b"), F.col("items").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -174,32 +184,8 @@ def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, width: int, pe
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(row, root) of the rows that have links; root is the smallest row of the component.
-
-    Each round hooks every node to its smallest neighbour, follows the pointers to their ends and contracts the
-    graph, which at least halves the nodes that still have links. It ends when no link is left.
-    """
-    spark = links.sparkSession
-    rest = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
-    labels = None
-    while True:
-        ends = rest.union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = stored(ends.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("to")))
-        if labels is None:
-            labels = spark.createDataFrame([], "row long, root long")
-        if point.isEmpty():
-            return labels
-        while True:
-            onward = point.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            jumped = stored(point.join(onward, "to", "left").select("node", F.coalesce("next", "to").alias("to"), (F.coalesce("next", "to") != F.col("to")).alias("moved")))
-            point = jumped.select("node", "to")
-            if jumped.filter("moved").isEmpty():
-                break
-        known = labels.join(point.select(F.col("node").alias("root"), "to"), "root", "left").select("row", F.coalesce("to", "root").alias("root"))
-        labels = stored(known.union(point.join(labels.select(F.col("row").alias("node")), "node", "left_anti").select("node", "to")))
-        roots = point.select(F.col("node").alias("a"), F.col("to").alias("ra"))
-        other = point.select(F.col("node").alias("b"), F.col("to").alias("rb"))
-        rest = stored(rest.join(roots, "a").join(other, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    """(row, root) of the rows that have links; root is the smallest row of the component."""
+    return connected_components(links, "a", "b").select(F.col("id").alias("row"), F.col("component").alias("root"))
 
 
 def links(rows: DataFrame, docs: DataFrame, width: int, percent: int, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -222,25 +208,97 @@ def links(rows: DataFrame, docs: DataFrame, width: int, percent: int, text: str
     best = near.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     found = confirmed(best, rows, docs, width, percent, text)
     root = components(found)
+    ra, rb = root.select(F.col("row").alias("a"), F.col("root").alias("ra")), root.select(F.col("row").alias("b"), F.col("root").alias("rb"))
+    across = near.join(ra, "a", "left").join(rb, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    others = stored(across.select("a", "b").join(best, ["a", "b"], "left_anti"))
+    if not others.isEmpty():
+        found = found.union(confirmed(others, rows, docs, width, percent, text))
+        root = components(found)
+    meetings = stored(met(shared, root, unique.select("row", "sketch", "bands")))
+    pairing = stored(meetings.groupBy("key", "block", "other").applyInArrow(likely, meetings.schema))
+    if pairing.isEmpty():
+        return found, member
+    sets = shingle_sets(pairing.select("row").distinct(), rows, docs, width, text)
+    schema = "a long, b long"
+    late = pairing.join(sets, "row").groupBy("key", "block", "other").applyInArrow(lambda group: linked(group, percent), schema)
+    return found.union(stored(late)), member
 
-    def across(pairs: DataFrame) -> DataFrame:
-        ra, rb = root.select(F.col("row").alias("a"), F.col("root").alias("ra")), root.select(F.col("row").alias("b"), F.col("root").alias("rb"))
-        return pairs.join(ra, "a", "left").join(rb, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
-    others = across(near.select("a", "b").join(best, ["a", "b"], "left_anti"))
+def met(shared: DataFrame, root: DataFrame, about: DataFrame) -> DataFrame:
+    """The rows of keys that hold several components, dealt so that every pair of different components meets.
+
+    All rows of a key stand in blocks as `home`; those outside its largest component come as probes to every block,
+    in blocks of their own, so a meeting has at most about two blocks of rows however large the key is.
+    """
     inside = shared.filter("n > 2").join(root, "row", "left").select("key", "row", F.coalesce("root", "row").alias("root"))
     parts = inside.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed_keys = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("n")).filter("parts > 1")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    open_rows = stored(inside.join(mixed_keys.select("key", F.col("top.root").alias("largest"), blocks.alias("blocks")), "key").join(sketch, "row"))
-    home = open_rows.select("key", F.pmod(F.xxhash64("row"), "blocks").cast("int").alias("block"), F.col("row").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("x"))
-    probe = open_rows.filter("root <> largest").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("row").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("y"))
-    met = home.join(probe, ["key", "block"]).filter((F.col("ra") != F.col("rb")) & (differing(F.col("x"), F.col("y")) <= FAR))
-    late = met.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    rest = stored(others.union(late).distinct())
-    if rest.isEmpty():
-        return found, member
-    return found.union(confirmed(rest, rows, docs, width, percent, text)), member
+    several = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("n")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sized = several.select("key", F.col("top.root").alias("largest"), blocks(F.col("n")).alias("homes"), blocks(F.col("n") - F.col("top.n")).alias("probes"))
+    dealt = inside.join(sized, "key").withColumn("h", F.xxhash64("row", "key")).join(about, "row")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = ["row", "root", "sketch", "bands"]
+    home = dealt.select("key", F.pmod("h", "homes").cast("int").alias("block"), up_to("probes").alias("other"), F.lit(False).alias("probe"), *own)
+    probe = dealt.filter("root <> largest").select("key", up_to("homes").alias("block"), F.pmod("h", "probes").cast("int").alias("other"), F.lit(True).alias("probe"), *own)
+    return home.union(probe)
+
+
+def table_of(group: pa.Table, name: str) -> np.ndarray:
+    """A column of lists of equal length as a 2-d array."""
+    return group.column(name).combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+
+
+def alive(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the home rows and probes of a meeting, whether a pair is still in question, and its differing bits.
+
+    In question: of different components, sketches alike, and this key is the first that the two share, so that
+    each pair is looked at once.
+    """
+    probe, root, key = group.column("probe").to_numpy(zero_copy_only=False), group.column("root").to_numpy(), group.column("key")[0].as_py()
+    sketch, bands = table_of(group, "sketch").view(np.uint64), table_of(group, "bands")
+    home, guest = np.flatnonzero(~probe), np.flatnonzero(probe)
+    bits = np.zeros((len(home), len(guest)), np.int64)
+    for k in range(sketch.shape[1]):
+        bits += np.bitwise_count(sketch[home, k][:, None] ^ sketch[guest, k])
+    ok = (bits <= FAR) & (root[home][:, None] != root[guest])
+    for k in range(bands.shape[1]):
+        if (bands[home, k] == key).any():
+            break
+        ok &= bands[home, k][:, None] != bands[guest, k]
+    return home, guest, ok, bits
+
+
+def likely(group: pa.Table) -> pa.Table:
+    """The rows of a meeting that have a pair in question."""
+    home, guest, ok, _ = alive(group)
+    return group.take(pa.array(np.sort(np.r_[home[ok.any(1)], guest[ok.any(0)]])))
+
+
+def linked(group: pa.Table, percent: int) -> pa.Table:
+    """Links between the components of a meeting, confirmed on full sets; likeliest first, none within a component."""
+    home, guest, ok, bits = alive(group)
+    root, row = group.column("root").to_numpy(), group.column("row").to_numpy()
+    starts, flat = (group.column("items").combine_chunks().offsets.to_numpy(), group.column("items").combine_chunks().values.to_numpy())
+    up = {int(r): int(r) for r in root}
+
+    def top(r: int) -> int:
+        while up[r] != r:
+            up[r] = r = up[up[r]]
+        return r
+
+    i, j = np.nonzero(ok)
+    out = []
+    for k in np.argsort(bits[i, j], kind="stable"):
+        a, b = int(home[i[k]]), int(guest[j[k]])
+        x, y = top(int(root[a])), top(int(root[b]))
+        if x == y:
+            continue
+        one, two = flat[starts[a] : starts[a + 1]], flat[starts[b] : starts[b + 1]]
+        common = len(np.intersect1d(one, two, assume_unique=True))
+        if 100 * common >= percent * (len(one) + len(two) - common):
+            up[max(x, y)] = min(x, y)
+            out.append((int(row[a]), int(row[b])))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
