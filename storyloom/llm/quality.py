@@ -62,16 +62,20 @@ class Measure:
         return [(bad.sum() - good.sum()) / (bad.sum() + good.sum()), (each * weight).min(), (each * weight).max(), good.sum() / size.sum(), bad.sum() / size.sum(), np.log(size.sum())]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Newton steps; the last weight is the constant."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 100) -> np.ndarray:
+    """Newton steps, halved until the loss falls; the last weight is the constant, which the ridge leaves out."""
     x = np.c_[x, np.ones(len(x))]
+    keep = np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 0.5 * keep @ (w * w)
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + ridge * np.r_[w[:-1], 0]
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(np.r_[np.full(len(w) - 1, ridge), 1e-9]), slope)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(keep), x.T @ (p - y) + keep * w)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w -= size * step
+        if np.abs(size * step).max() < 1e-7:
             break
     return w
 
@@ -90,9 +94,12 @@ class Model:
         self.both = min(map(len, order.values())) >= 4
         if not self.both:
             return
-        self.good, self.bad = (dictionary(order[k][::2]) for k in (1, 0))
-        measure = Measure(self.good, self.bad)
-        rows = [(measure.features(t), k) for k in (0, 1) for t in order[k][1::2] if t]
+        rows = []
+        for fold in (0, 1):
+            # the curve is fitted on texts that their dictionaries haven't seen
+            measure = Measure(*(dictionary(order[k][fold::2]) for k in (1, 0)))
+            rows += [(measure.features(t), k) for k in (0, 1) for t in order[k][1 - fold :: 2] if t]
+        self.good, self.bad = (dictionary(order[k]) for k in (1, 0))
         x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
         self.weights = logistic(bent((x - self.mean) / self.scale), y)
