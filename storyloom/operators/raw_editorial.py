@@ -59,7 +59,6 @@ STRENGTHS = {
     2: ("medium", "moderate", "mixed", "present", "partial"),
     1: ("low", "mild", "subtle", "neutral", "none", "absent"),
 }
-ALARM_KEYS = ("sensationalism", "loaded_language", "emotional_tone", "alarmism")
 BALANCE_KEYS = ("neutral_reporting", "informational_balance")
 EMPTY_FRAMING_KEYS = ("", "main_narrative", "key_framing_elements", "balance", "sources_represented", "device_1",
                       "device_2", "device_3")

@@ -442,17 +442,6 @@ def _entity_rows(spark, folder):
     return enrich.canonicalize(enrich.extract_entities(tb.articles(spark, folder), vocab.ENRICH), vocab.ENRICH)
 
 
-def _hits_sql() -> str:
-    parts = []
-    for place, (kind, terms) in enumerate(vocab.ENRICH.entity_terms.items()):
-        pattern = "(" + "|".join(terms) + ")"
-        parts.append(
-            f"SELECT id, '{kind}' AS entity_type, {place} AS rule, unnest(h) AS name, generate_subscripts(h, 1) AS at FROM "
-            f"(SELECT id, regexp_extract_all(txt, '(?:^|[^\\p{{L}}\\p{{N}}_])' || '{pattern}' || '(?:$|[^\\p{{L}}\\p{{N}}_])', 1, 'i') AS h FROM texts)"
-        )
-    return " UNION ALL ".join(parts)
-
-
 @catalogue.add("c1_entities")
 def c1(spark, folder):
     return enrich.extract_entities(tb.articles(spark, folder), vocab.ENRICH).select("id", "entity_type", "name", "relevance", "place")
