@@ -68,7 +68,7 @@ def words_of(text: str | None) -> list[str]:
 class Pieces:
     """The vocabulary as hash tables over arrays, so that all substrings of many words are looked up at once."""
 
-    SLOTS = 22
+    SLOTS = 20
 
     def __init__(self, ids: dict[str, int]):
         self.size, self.longest = len(ids), max(map(len, ids))
@@ -187,7 +187,7 @@ class Scorer:
         self.logs = np.zeros((0, len(langs)))
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        split = [words_of(t) for t in texts]
+        split = [words_of(t) if self.langs else [] for t in texts]
         distinct = set(chain.from_iterable(split))
         new = [w for w in distinct if w not in self.row]
         if len(self.row) + len(new) > REMEMBERED:
