@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from storyloom.llm.common import map_texts
 
 #: Encoded words that a task remembers; the memory is emptied when full, results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: The last symbol of a word is another symbol than the same character inside it.
 LAST = 0x1000
 #: Last symbols of a prefix by which the lengths of its possible last tokens are looked up.
@@ -196,7 +196,9 @@ class Encoder:
         new = {c: self.plain(c) for c in set(chain.from_iterable(split)) - of_chunk.keys() if c not in special}
         self.learn(set(chain.from_iterable(new.values())) - self.known.keys())
         of_chunk |= {c: (i,) for c, i in special.items()}
-        of_chunk |= {c: tuple(chain.from_iterable([self.known[w] for w in words])) for c, words in new.items()}
+        # a run that is one word shares its tuple
+        known = self.known
+        of_chunk |= {c: known[words[0]] if len(words) == 1 else tuple(chain.from_iterable([known[w] for w in words])) for c, words in new.items()}
         return [np.fromiter(chain.from_iterable([of_chunk[c] for c in chunks]), np.int32) for chunks in split]
 
     def decode(self, ids) -> str:
@@ -210,7 +212,7 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | Non
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path or default_path()))
 
     def make():
-        gc.disable()  # hundreds of thousands of small tuples, none in a cycle
+        gc.disable()  # large dicts of strings and numbers; the next task collects what is left in cycles
         encoder = Encoder(vocabulary.value)
 
         def work(texts):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,6 +42,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], make: Callable, fields:
     names = schema.names
 
     def run(batches):
+        gc.collect()  # workers are reused: what an earlier task left in cycles goes before this one starts
         work = make()
         for batch in batches:
             for piece in pieces(batch):

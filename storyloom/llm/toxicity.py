@@ -309,7 +309,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str], learn: Column, te
     model = docs.sparkSession.sparkContext.broadcast(Model(*labelled_sample(docs, labels, label, learn, fit_rows, text)))
 
     def make():
-        gc.disable()  # large dicts of strings and numbers, none in a cycle
+        gc.disable()  # large dicts of strings and numbers; the next task collects what is left in cycles
         scorer = model.value.scorer()
         return lambda texts: (pa.array(scorer(texts), pa.float64()),)
 
