@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from storyloom.llm.common import stored
 
 #: Least cosine at which a line states a licence.
-THRESHOLD = 0.75
+THRESHOLD = 0.85
 
 #: Words of the templates that ordinary text is full of; the search for lines does without them where it can.
 COMMON = frozenset(
     "a an and any are as available be by can charge code conditions either except file following for form forms free from general in into is it "
-    "made may modify not obtaining of or person program provided published subject terms that the this to under use version with without work you".split()
+    "made may modify not obtaining of or person program provided published subject terms that the this to under use version with without work you "
+    "mit person public source".split()
 )
 
 #: Usual wordings of public licences (SPDX names).
