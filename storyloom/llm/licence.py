@@ -3,6 +3,8 @@
 DataFrame operations only. Lines and paragraphs of whole texts become token counts; weights are tf x idf, with idf over the
 templates (a token that no template has weighs like one that no document has). A line can reach the threshold only
 if it holds a token that its template can't do without, so texts without any such token are skipped by one pattern.
+Its cosine is at most the norm of the template over the tokens that both have, so of the lines left only those are
+counted for which that bound reaches the threshold for some template. Neither step loses a line.
 The product with the template matrix is a join on tokens. A file with a licence of its own keeps it; others take that
 of the nearest directory above them whose licence files state one.
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from storyloom.llm.common import stored
 
 #: Least cosine at which a line states a licence.
-THRESHOLD = 0.85
+THRESHOLD = 0.75
 
 #: Words of the templates that ordinary text is full of; the search for lines does without them where it can.
 COMMON = frozenset(
@@ -72,13 +74,16 @@ class Weights:
         seen = Counter(t for c in counts for t in c)
         self.unseen = math.log(1 + len(templates)) + 1
         self.idf = {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in seen.items()}
-        self.rows, self.needed = [], set()
+        self.rows, self.needed, self.reach = [], set(), []
+        #: scores are rounded to six digits before they are compared
+        self.least = (threshold - 1e-6) ** 2
         for (name, text), c in zip(templates, counts, strict=True):
             weight = {t: n * self.idf[t] for t, n in c.items()}
             norm = math.sqrt(sum(w * w for w in weight.values()))
             self.rows += [(text, name, t, w / norm, self.idf[t]) for t, w in weight.items()]
+            self.reach.append({t: (w / norm) ** 2 for t, w in weight.items()})
             # tokens from the commonest on are spared as long as they alone can't reach the threshold
-            left = (threshold * norm) ** 2
+            left = self.least * norm**2
             for t in sorted(weight, key=lambda t: (t not in COMMON, len(t) > 2, self.idf[t], t)):
                 left -= weight[t] ** 2
                 if left <= 0:
@@ -87,6 +92,15 @@ class Weights:
     def pattern(self) -> str:
         return r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(self.needed)) + r")(?![a-z0-9])"
 
+    def may_reach(self, tokens: Column) -> Column:
+        """Whether the bound for some template reaches the threshold; `tokens` are the distinct tokens of templates in a line."""
+        vocabulary = sorted(self.idf)
+        at = {t: i for i, t in enumerate(vocabulary)}
+        shares = F.array(*[F.array(*[F.lit(r.get(t, 0.0)) for t in vocabulary]) for r in self.reach])
+        index = F.create_map(*[F.lit(x) for t in vocabulary for x in (t, at[t])])
+        places = F.transform(tokens, lambda t: F.element_at(index, t))
+        return F.exists(shares, lambda row: F.aggregate(places, F.lit(0.0), lambda total, i: total + F.get(row, i)) >= self.least - 1e-12)
+
 
 def stated(files: DataFrame, text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """file, licence, score (six digits), outer (it stands in the first or last line) of the files that state a licence. `file` names rows."""
@@ -97,7 +111,9 @@ def stated(files: DataFrame, text: str = "text", templates=TEMPLATES, threshold:
     lines = F.transform(cut, lambda x, i: F.struct(x.alias("line"), i.alias("at"), ((i == 0) | (i == F.size(cut) - 1)).alias("outer")))
     parts = F.transform(F.split(F.col(text), r"\n\s*\n"), lambda x: F.struct(x.alias("line"), F.lit(-1).alias("at"), F.lit(False).alias("outer")))
     some = files.filter(F.col(text).rlike(w.pattern())).select("file", F.explode(F.concat(lines, F.filter(parts, lambda p: F.instr(p["line"], "\n") > 0))).alias("l")).select("file", "l.line", "l.at", "l.outer").filter(needed)
-    bags = some.select("file", "at", "outer", F.xxhash64("line").alias("part"), F.explode(F.regexp_extract_all(F.lower("line"), F.lit("([a-z0-9]+)"), 1)).alias("token"))
+    some = some.withColumn("tokens", F.regexp_extract_all(F.lower("line"), F.lit("([a-z0-9]+)"), 1))
+    some = some.filter(w.may_reach(F.array_intersect("tokens", F.array(*[F.lit(t) for t in sorted(w.idf)]))))
+    bags = some.select("file", "at", "outer", F.xxhash64("line").alias("part"), F.explode("tokens").alias("token"))
     counts = bags.groupBy("file", "at", "outer", "part", "token").agg(F.count("*").alias("tf"))
     idf = matrix.select("token", "idf").distinct()
     weighed = stored(counts.join(F.broadcast(idf), "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(w.unseen))).select("file", "at", "outer", "part", "token", "w"))
