@@ -228,6 +228,26 @@ def test_sharding_law(spark):
     assert sorted(r["shard"] for r in sharding.shard(frame(spark, rows[:3]), 24).collect()) == [0, 1, 2]
 
 
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    """Groups of up to a whole shard aren't cut, and larger ones use no more shards than they need."""
+    sizes = {"whole": 101, "most": 90, "half": 51, "half too": 50, "more": 250}
+    texts = [t for t, k in sizes.items() for _ in range(k)]
+    texts += [f"alone {i}" for i in range(801 - len(texts))]
+    random.Random(9).shuffle(texts)
+    got = sharding.shard(frame(spark, enumerate(texts)), 8).collect()
+    counts, spread = Counter(r["shard"] for r in got), defaultdict(set)
+    for r in got:
+        spread[texts[r.doc_id]].add(r["shard"])
+    assert sorted(counts.values()) == [100] * 7 + [101]
+    assert {t: len(spread[t]) for t in sizes} == {"whole": 1, "most": 1, "half": 1, "half too": 1, "more": 3}
+
+
+def test_groups_are_cut_only_where_no_shard_has_room():
+    parts, left = sharding.packed([(6, "a"), (6, "b"), (6, "c")], [10, 10])
+    assert sorted(g for g, *_ in parts) == ["a", "b", "c", "c"] and left == [0, 2]
+    assert sharding.packed([(25, "x")], [10, 10, 10]) == ([("x", 0, 10, 0), ("x", 10, 20, 1), ("x", 20, 25, 2)], [0, 0, 5])
+
+
 def test_quotas_keep_sizes():
     rng = np.random.default_rng(0)
     for _ in range(50):
