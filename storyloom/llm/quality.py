@@ -17,9 +17,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import map_texts
+from storyloom.llm.common import map_texts, stored
 
-#: Labelled texts a kind that the model is fitted on, at most, and bytes of them in total.
+#: Labelled texts a kind that the model is fitted on, at most, and characters of them in total.
 FIT_ROWS, FIT_BYTES = 1500, 12_000_000
 #: Bytes of a block, of a dictionary, and the compression level.
 BLOCK, DICTIONARY, LEVEL = 1024, 64_000, 3
@@ -119,29 +119,47 @@ class Model:
         return score
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, fit_rows: int, text: str = "text") -> tuple[list[str], list[int], float | None]:
+def longest(lengths: list[tuple[int, int]], total: int) -> int:
+    """The length that texts are shortened to, so that they have `total` characters at most; `lengths` are (length, texts)."""
+    left, texts = total, sum(n for _, n in lengths)
+    for length, n in sorted(lengths):
+        if length * texts > left:
+            return max(1, left // texts)
+        left -= length * n
+        texts -= n
+    return max((length for length, _ in lengths), default=1)
+
+
+def shortened(text: Column, limit: int, parts: int = 16) -> Column:
+    """Texts of over `limit` characters as passages at even distances, from their first to their last characters, one a line."""
+    parts = max(1, min(parts, limit // 64))
+    n = max(1, limit // parts - 1)
+    if parts == 1:
+        return F.substring(text, 1, limit)
+    places = [F.floor((F.length(text) - n) * F.lit(i) / (parts - 1)).cast("int") + 1 for i in range(parts)]
+    return F.when(F.length(text) > limit, F.concat_ws("\n", *[F.substring(text, at, F.lit(n)) for at in places])).otherwise(text)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, fit_rows: int, text: str = "text", fit_bytes: int = FIT_BYTES) -> tuple[list[str], list[int], float | None]:
     """Texts, their labels and the share of label 1 among all learnable rows; of at most `fit_rows` learnable documents of each label, those with the smallest hash of their id.
 
     Ids are ranked without their texts, and texts are fetched for the chosen ids only. Contradictory labels of one
-    document both count; null labels don't.
+    document both count; null labels don't. If the chosen texts have over `fit_bytes` characters together, the longest
+    are shortened to one length, so that all of them stay in the sample and the short ones stay whole.
     """
     known = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label")).filter(learn)
     parts = [known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for k in (0, 1)]
     chosen = parts[0].union(parts[1]).distinct()
-    rows = docs.select("doc_id", F.col(text).alias("text")).filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    taken, total = [], 0
-    for r in rows.select("text", "label", F.xxhash64("doc_id").alias("h")).orderBy("h", "label").toLocalIterator():
-        total += len(r.text)
-        if total > FIT_BYTES:
-            break
-        taken.append((r.text, r.label))
+    rows = stored(docs.select("doc_id", F.col(text).alias("text")).filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id"))
+    limit = longest([(r["length"], r["count"]) for r in rows.groupBy(F.length("text").alias("length")).count().collect()], fit_bytes)
+    taken = [(r.text, r.label) for r in rows.select(shortened(F.col("text"), limit).alias("text"), "label", F.xxhash64("doc_id").alias("h")).orderBy("h", "label").toLocalIterator()]
     share = known.agg(F.avg("label")).first()[0]
     return [t for t, _ in taken], [y for _, y in taken], share
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: list[str], learn: Column, text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, keep: list[str], learn: Column, text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """`kept` (struct of the `keep` columns) and score of every row; learns from rows of `labels` where `learn` holds."""
-    model = docs.sparkSession.sparkContext.broadcast(Model(*labelled_sample(docs, labels, label, learn, fit_rows, text)))
+    model = docs.sparkSession.sparkContext.broadcast(Model(*labelled_sample(docs, labels, label, learn, fit_rows, text, fit_bytes)))
 
     def make():
         scorer = model.value.scorer()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from storyloom.llm.common import map_texts
-from storyloom.llm.quality import labelled_sample
+from storyloom.llm.quality import FIT_BYTES, labelled_sample
 
 #: Labelled texts a kind that the model is fitted on, at most.
 FIT_ROWS = 700
@@ -304,9 +304,9 @@ class Scorer:
         return sigmoid(np.maximum.reduceat(logits, starts).astype(float) + self.model.shift)
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: list[str], learn: Column, text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, keep: list[str], learn: Column, text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """`kept` (struct of the `keep` columns) and score of every row; learns from rows of `labels` where `learn` holds."""
-    model = docs.sparkSession.sparkContext.broadcast(Model(*labelled_sample(docs, labels, label, learn, fit_rows, text)))
+    model = docs.sparkSession.sparkContext.broadcast(Model(*labelled_sample(docs, labels, label, learn, fit_rows, text, fit_bytes)))
 
     def make():
         gc.disable()  # large dicts of strings and numbers; the next task collects what is left in cycles

@@ -175,6 +175,21 @@ def test_scores_of_messy_rows(spark, messy, empty, operator, label, nothing):
     assert operator.score(empty, labels, ["doc_id"], F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("place", [0, 5])
+def test_huge_labelled_text_hides_no_other(spark, place):
+    """A text over the bound of the sample, first or later in order of hashes, is shortened, and all others stay whole."""
+    ids = [r[0] for r in spark.range(20).orderBy(F.xxhash64("id")).collect()]
+    texts = {i: f"text number {i}" for i in range(20)}
+    texts[ids[place]] = "start " + "x" * 50_000 + " end"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    found, known, _ = quality.labelled_sample(docs, labels, "quality", F.lit(True), 20, fit_bytes=10_000)
+    assert len(found) == 20 and sum(known) == 10 and sum(map(len, found)) <= 10_000
+    assert set(texts.values()) - set(found) == {texts[ids[place]]}
+    longest = max(found, key=len)
+    assert longest.startswith("start ") and longest.endswith(" end") and len(longest) > 9_000
+
+
 def test_toxicity_gradients():
     """Back-propagation against differences."""
     net, rng = toxicity.Network(), np.random.default_rng(0)
