@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from storyloom.llm.common import map_texts
+from storyloom.llm.common import map_texts, stored
 
 #: Labelled texts a language that the model is fitted on, at most.
 FIT_ROWS = 400
@@ -212,15 +212,19 @@ class Scorer:
 
 
 def train(docs: DataFrame, labelled: Column, path: str, text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS):
-    """Fit on at most `fit_rows` labelled texts a language, the ones with the smallest hash."""
+    """Fit on at most `fit_rows` different labelled texts a language, drawn by their hash; copies of a text count once."""
     rows = docs.filter(labelled & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    keys = stored(hashed.select("lang", "h").distinct())
+    sizes = {r.lang: r["count"] for r in keys.groupBy("lang").count().collect()}
     # a share of each language by hash, so that no task ranks a whole language
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 2 * fit_rows / n))) for k, n in sorted(sizes.items())], F.lit(0.0)) if sizes else F.lit(0.0)
-    mixed = rows.withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003)
-    ranked = mixed.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("at") <= fit_rows)
+    mixed = keys.filter(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003)
+    chosen = mixed.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("at") <= fit_rows).select("lang", "h")
+    # copies are merged within the tasks that read them, so a hot text reaches the shuffle once a task
+    sample = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     ids, counts = vocabulary(path), {}
-    for r in ranked.select("lang", "text").toLocalIterator():
+    for r in sample.select("lang", "text").toLocalIterator():
         counts.setdefault(r.lang, Counter()).update(words_of(r.text))
     return (*fit(counts, ids), ids)
 

@@ -112,6 +112,17 @@ def test_language_of_messy_rows(messy, empty):
     assert {r.lang_pred for r in langid.identify(messy, ["doc_id"], F.lit(False)).collect()} == {"und"}
 
 
+def test_language_sample_counts_copies_once(spark, monkeypatch):
+    """A group of copies that makes up most of a language takes one place in the sample and hides no other text."""
+    monkeypatch.setattr(langid, "fit", lambda counts, ids: (counts,))
+    hot = spark.range(20_000).select(F.lit("fr").alias("lang"), F.lit("encore").alias("text"))
+    others = spark.createDataFrame([("fr", "mot" + chr(97 + i)) for i in range(26)] + [("de", "wort")], "lang string, text string")
+    counts, _ = langid.train(hot.union(others), F.lit(True), langid.default_path(), fit_rows=27)
+    assert set(counts) == {"fr", "de"} and len(counts["fr"]) == 27 and set(counts["fr"].values()) == {1}
+    counts, _ = langid.train(hot.union(others), F.lit(True), langid.default_path(), fit_rows=13)
+    assert 5 <= len(counts["fr"]) <= 13 and set(counts["fr"].values()) == {1}
+
+
 def brute_hits(text, items, width):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     w, hit, named = words(text), set(), set()
