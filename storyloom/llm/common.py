@@ -71,3 +71,16 @@ def numbered(df: DataFrame, keys: list[str], order: str, name: str, rows_per_chu
     ranked = marked.withColumn("_at", F.row_number().over(inside) - 1)
     joined = ranked.join(starts.drop("_n"), [*keys, "_chunk"])
     return joined.withColumn(name, (F.col("_first") + F.col("_at")).cast("long")).drop("_h", "_chunk", "_first", "_at")
+
+
+#: CTE: the 256 entries of the CRC-32 table as one list.
+CRC_TABLE = """crc_table AS (
+  SELECT list(v ORDER BY n) AS tab FROM (
+    SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+    FROM range(256) t(n)))"""
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of an ASCII string in SQL, beside crc_table."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ord(x) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: xor(c // 256, tab[xor(c, b) % 256 + 1])), 4294967295)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, decontam, exact, langid, licence, lm, near, quality, sharding, toxicity
+from storyloom.llm import bpe, decontam, exact, langid, licence, lm, near, prefix_trie, quality, secrets, sharding, toxicity
 from storyloom.llm.common import crc_rest
 from storyloom.plans.registry import Catalogue
 
@@ -79,3 +79,15 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """24 shards of equally many documents, equal texts together."""
     return sharding.shard(table(spark, folder, "documents"), 24)
+
+
+@catalogue.add("op11_secrets", secrets.SQL)
+def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of secrets in every document."""
+    return secrets.digests(table(spark, folder, "documents"))
+
+
+@catalogue.add("op13_prefix_trie", prefix_trie.SQL)
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Prefix trie of the rebuilt conversations."""
+    return prefix_trie.rebuilt_nodes(table(spark, folder, "conversations"))
