@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, decontam, exact, langid, licence, lm, near, prefix_trie, quality, secrets, sharding, toxicity
+from storyloom.llm import bpe, decontam, exact, langid, licence, lm, near, prefix_trie, quality, ranked_search, secrets, sharding, toxicity
 from storyloom.llm.common import crc_rest
 from storyloom.plans.registry import Catalogue
 
@@ -87,6 +87,12 @@ def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digests(table(spark, folder, "documents"))
 
 
+@catalogue.add("op12_ranked_search", ranked_search.SQL)
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @catalogue.add("op13_prefix_trie", prefix_trie.SQL)
 def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     """Prefix trie of the rebuilt conversations."""
