@@ -4,26 +4,69 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.session import cut_lineage
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+#: Edges that one task may close: the size is counted before, the result is the same.
+SMALL_GRAPH = 500_000
+
+
+def smallest_reachable(pairs) -> dict:
+    """Union-find over (u, v): the smallest id of the component of every node."""
+    up: dict = {}
+
+    def find(x):
+        top = x
+        while up[top] != top:
+            top = up[top]
+        while up[x] != top:
+            up[x], x = top, up[x]
+        return top
+
+    for u, v in pairs:
+        up.setdefault(u, u)
+        up.setdefault(v, v)
+        a, b = find(u), find(v)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return {x: find(x) for x in up}
+
+
+def _in_one_task(rest: DataFrame) -> DataFrame:
+    """(id, to) of a graph of counted, small size."""
+
+    def close(batches):
+        rows = [pair for pdf in batches for pair in zip(pdf["u"].tolist(), pdf["v"].tolist())]
+        found = smallest_reachable(rows)
+        yield pd.DataFrame({"id": list(found), "to": list(found.values())})
+
+    kind = rest.schema["u"].dataType
+    return rest.coalesce(1).mapInPandas(close, T.StructType([T.StructField("id", kind), T.StructField("to", kind)]))
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", alone: int = 0) -> DataFrame:
     """(id, component): smallest id reachable from each node that has an edge; ids of any type with an order.
 
     Each round hooks every node to its smallest neighbour, follows the pointers to their ends (each step doubles
     their reach) and contracts the graph, which at least halves the nodes that still have an edge. It ends when no
     edge is left. Minima combine before the shuffle, so a hub costs no more than others, and every round is written
-    to shared storage.
+    to shared storage. What is left of a graph of plain ids is closed in one task once it has at most `alone` edges.
     """
     rest = cut_lineage(edges.where(F.col(src) != F.col(dst)).select(F.col(src).alias("u"), F.col(dst).alias("v")).distinct())
     labels, n, known = None, rest.count(), 0
     while n:
-        both = rest.unionByName(rest.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        point = cut_lineage(both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("id"), F.least("u", "low").alias("to")), 2 * n)
-        moving = True
+        last = n <= alone and isinstance(rest.schema["u"].dataType, (T.LongType, T.IntegerType, T.StringType))
+        if last:
+            point = cut_lineage(_in_one_task(rest))
+        else:
+            both = rest.unionByName(rest.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            point = cut_lineage(both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("id"), F.least("u", "low").alias("to")), 2 * n)
+        moving = not last
         while moving:
             onward = point.select(F.col("id").alias("to"), F.col("to").alias("next"))
             jumped = cut_lineage(point.join(onward, "to").select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), 2 * n)
@@ -35,6 +78,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             # the nodes of a later round are the components of the rounds before
             onward = point.select(F.col("id").alias("component"), "to")
             labels = cut_lineage(labels.join(onward, "component", "left").select("id", F.coalesce("to", "component").alias("component")), known)
+        if last:
+            break
         ends = [point.select(F.col("id").alias(k), F.col("to").alias(f"r{k}")) for k in ("u", "v")]
         joined = rest.join(ends[0], "u").join(ends[1], "v").where("ru <> rv")
         rest = cut_lineage(joined.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), n)
