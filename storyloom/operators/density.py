@@ -50,15 +50,20 @@ def _cores(lists: DataFrame, copies: DataFrame, min_samples: int) -> DataFrame:
     return joined.select("id", F.when(F.col("n") > wanted, FLOOR).otherwise(F.coalesce("near", "far", F.lit(FLOOR))).alias("core"), "n")
 
 
-def _lightest_outside(index: _Index, asked: DataFrame, labels: DataFrame) -> DataFrame:
+def _extent(index: _Index, labels: DataFrame) -> list:
+    """(cell, low, high): the smallest and the largest component of every cell; at most MAX_PIVOTS rows."""
+    placed = index.data.select(F.col("rep").alias("id"), "cell").join(labels, "id")
+    return placed.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).collect()
+
+
+def _lightest_outside(index: _Index, asked: DataFrame, labels: DataFrame, extent: list) -> DataFrame:
     """(comp, a, b, weight): the lightest edges from the points (id, comp, core, radius) to other components within their radius.
 
     labels: id, comp, core. Cells that hold one component only are not searched for it.
     """
     pivots, radius, n_blocks = index.pivots, index.radius, index.n_blocks
-    placed = index.data.withColumnRenamed("rep", "id").join(labels, "id")
-    pure = np.full(len(radius), -1, dtype=np.int64)  # at most MAX_PIVOTS rows
-    for r in placed.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).collect():
+    pure = np.full(len(radius), -1, dtype=np.int64)
+    for r in extent:
         if r["low"] == r["high"]:
             pure[r["cell"]] = r["low"]
     mixed = pure == -1
@@ -72,14 +77,15 @@ def _lightest_outside(index: _Index, asked: DataFrame, labels: DataFrame) -> Dat
             go = away - radius[live] <= pdf["radius"].to_numpy()[:, None] + SLACK
             go &= mixed[live] | (pure[live] != pdf["comp"].to_numpy()[:, None])
             which, cell = np.nonzero(go)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[which], "cell": live[cell].astype("int32")})
+            yield pdf[["id", "v", "comp", "core"]].iloc[which].assign(cell=live[cell].astype("int32"))
 
-    queries = cut_lineage(asked.join(index.distinct.withColumnRenamed("rep", "id"), "id").select("id", "v", "comp", "core", "radius"))
-    visits = cut_lineage(queries.select("id", "v", "comp", "radius").mapInPandas(plan, "id long, cell int"))
+    queries = asked.join(index.distinct.withColumnRenamed("rep", "id"), "id").select("id", "v", "comp", "core", "radius")
+    visits = cut_lineage(queries.mapInPandas(plan, "id long, v array<double>, comp long, core double, cell int"))
     load = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     chunks = F.element_at(F.array(*[F.lit(max(1, math.ceil(load.get(c, 0) / QUERY_ROWS))) for c in range(len(n_blocks))]), F.col("cell") + 1)
     blocks = F.element_at(F.array(*[F.lit(int(max(1, b))) for b in n_blocks]), F.col("cell") + 1)
-    left = visits.join(queries, "id").select("id", "v", "comp", "core", "cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"))
+    left = visits.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"))
+    placed = index.data.withColumnRenamed("rep", "id").join(labels, "id")
     right = placed.select("id", "v", "comp", "core", "cell", "block", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
 
     def lightest(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
@@ -108,30 +114,33 @@ def reachability_tree(index: _Index, min_samples: int = 2, near: int = NEAR) ->
     core = cores.select("id", "core")
     ends = lists.join(core.toDF("seed", "core_s"), "seed").join(core.toDF("other", "core_o"), "other")
     weighed = [cut_lineage(ends.select("seed", "other", F.greatest("d", "core_s", "core_o").alias("weight")))]
+    nothing = cores.select(F.col("id").alias("comp"), F.col("id").alias("a"), F.col("id").alias("b"), F.col("core").alias("weight")).limit(0)
     # what lies beyond the list of a point is at least as far as its last entry
     full = lists.groupBy("seed").agg(F.count(F.lit(1)).alias("k"), F.max("d").alias("last"))
     seen = max(near, min_samples)
     horizon = cut_lineage(full.where(F.col("k") >= seen).join(core.toDF("seed", "core"), "seed").select(F.col("seed").alias("id"), F.greatest("last", "core").alias("beyond")))
 
     def best(labels: DataFrame, done: int) -> DataFrame:
-        side = lambda c: labels.select(F.col("id").alias(c), F.col("comp").alias(f"c_{c}"))
-        crossing = weighed[0].join(side("seed"), "seed").join(side("other"), "other").where("c_seed <> c_other")
-        weighed[0] = cut_lineage(crossing.select("seed", "other", "weight"))
-        offered = weighed[0].join(side("seed"), "seed").join(side("other"), "other").select("weight", F.least("seed", "other").alias("a"), F.greatest("seed", "other").alias("b"), F.explode(F.array("c_seed", "c_other")).alias("comp"))
-        found = cut_lineage(offered.groupBy("comp").agg(F.min(ordered()).alias("e")).select("comp", "e.a", "e.b", "e.weight"))
         known = labels.join(core, "id")
+        extent = _extent(index, known)
+        if len({c for r in extent for c in (r["low"], r["high"])}) <= 1:
+            return nothing
+        lightest = lambda rows: rows.groupBy("comp").agg(F.min(ordered()).alias("e")).select("comp", "e.a", "e.b", "e.weight")
+        side = lambda c: labels.select(F.col("id").alias(c), F.col("comp").alias(f"c_{c}"))
+        crossing = cut_lineage(weighed[0].join(side("seed"), "seed").join(side("other"), "other").where("c_seed <> c_other"))
+        weighed[0] = crossing.select("seed", "other", "weight")
+        offered = crossing.select("weight", F.least("seed", "other").alias("a"), F.greatest("seed", "other").alias("b"), F.explode(F.array("c_seed", "c_other")).alias("comp"))
+        found = cut_lineage(lightest(offered))
         points = known.join(horizon, "id").join(found.select("comp", "weight"), "comp", "left")
         one = F.row_number().over(Window.partitionBy("comp").orderBy("id"))
         blind = cut_lineage(points.where("weight IS NULL").withColumn("r", one).where("r = 1").select("id", "comp", "core", F.lit(math.inf).alias("radius")))
         if not blind.isEmpty():
-            bound = _lightest_outside(index, blind, known).groupBy("comp").agg(F.min(ordered()).alias("e")).select("comp", "e.a", "e.b", "e.weight")
-            found = cut_lineage(found.unionByName(bound))
+            found = cut_lineage(found.unionByName(lightest(_lightest_outside(index, blind, known, extent))))
             points = known.join(horizon, "id").join(found.select("comp", "weight"), "comp")
         open_ = cut_lineage(points.where("beyond <= weight").select("id", "comp", "core", F.col("weight").alias("radius")))
         if open_.isEmpty():
             return found
-        more = _lightest_outside(index, open_, known)
-        return found.unionByName(more).groupBy("comp").agg(F.min(ordered()).alias("e")).select("comp", "e.a", "e.b", "e.weight")
+        return lightest(found.unionByName(_lightest_outside(index, open_, known, extent)))
 
     return cut_lineage(best_edges(nodes, best).distinct()), cores
 

@@ -62,7 +62,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", a
     while n:
         last = n <= alone and isinstance(rest.schema["u"].dataType, (T.LongType, T.IntegerType, T.StringType))
         if last:
-            point = cut_lineage(_in_one_task(rest))
+            point = _in_one_task(rest) if labels is None else cut_lineage(_in_one_task(rest))
         else:
             both = rest.unionByName(rest.select(F.col("v").alias("u"), F.col("u").alias("v")))
             point = cut_lineage(both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("id"), F.least("u", "low").alias("to")), 2 * n)

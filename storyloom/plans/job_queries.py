@@ -78,17 +78,16 @@ def src9(spark, folder):
 
 @catalogue.add("c10_density_clusters")
 def c10(spark, folder):
-    near = cut_lineage(_knn(spark, folder, 15))
-    return dn.density_clusters(near)
+    return dn.density_clusters(_vectors(spark, folder))
 
 
 @catalogue.add("c11_projection_refresh")
 def c11(spark, folder):
     """Vectors to points, clusters, density, nearby sources and the per-point table."""
     vectors = _vectors(spark, folder)
-    near = cut_lineage(_knn(spark, folder, 15))
+    near = cut_lineage(_knn(spark, folder))
     points = vc.project(vectors)
-    rows = dn.point_analysis(points, dn.density_clusters(near), vc.local_density(near), vc.nearby_sources(near, vectors))
+    rows = dn.point_analysis(points, dn.density_clusters(vectors), vc.local_density(near), vc.nearby_sources(near, vectors))
     joined = points.join(rows, "id").withColumn("projection_set", F.lit("pca"))
     return joined.select(
         "projection_set", "id", *[F.round(a, 6).alias(a) for a in "xyz"], "cluster", "cluster_size", "is_outlier", "local_density",

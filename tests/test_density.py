@@ -76,7 +76,7 @@ def blobs(seed, n, copies=0, dim=6):
     return out
 
 
-@pytest.mark.parametrize(("seed", "n", "copies", "least", "min_samples", "near", "batch"), [(1, 70, 0, 3, 2, 2, 10), (2, 60, 0, 5, 4, 15, 1000), (3, 50, 2, 3, 2, 2, 7), (4, 2, 0, 3, 2, 5, 5)])
+@pytest.mark.parametrize(("seed", "n", "copies", "least", "min_samples", "near", "batch"), [(1, 60, 2, 3, 2, 2, 12), (2, 60, 0, 5, 4, 15, 1000), (4, 2, 0, 3, 2, 5, 5)])
 def test_clusters_equal_brute_force(spark, seed, n, copies, least, min_samples, near, batch):
     points = blobs(seed, n, copies)
     rows = spark.createDataFrame(list(points.items()), "id long, embedding array<double>")
@@ -94,7 +94,7 @@ def test_many_copies_are_a_cluster(spark):
 
 
 def test_tree_weighs_what_a_brute_force_tree_weighs(spark):
-    points = blobs(7, 80)
+    points = blobs(7, 60)
     index = dn._Index(spark.createDataFrame(list(points.items()), "id long, embedding array<double>"), "id", "embedding", 1)
     tree, _ = dn.reachability_tree(index, 3, 2)
     joined, total = [], 0.0
@@ -110,7 +110,7 @@ def test_forest_answers_every_threshold(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60), rng.choice([0.1, 0.2, 0.3, rng.random()])) for _ in range(90)]
     forest = [(r["a"], r["b"], r["weight"]) for r in minimum_forest(spark.createDataFrame(edges, "a long, b long, weight double")).collect()]
-    for cut in (0.05, 0.1, 0.2, 0.31, 0.7, 1.0):
+    for cut in (0.1, 0.2, 0.31, 0.7):
         want = components(range(60), [(a, b) for a, b, w in edges if w <= cut])
         assert sorted(map(sorted, components(range(60), [(a, b) for a, b, w in forest if w <= cut]))) == sorted(map(sorted, want))
     assert len(forest) == 60 - len(components(range(60), [(a, b) for a, b, _ in edges]))
