@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.operators.closure import guarded_closure
+from storyloom.operators.graph import SMALL_GRAPH, connected_components
 from storyloom.operators.scoring import accepted
+from storyloom.operators.spanning import minimum_forest
+from storyloom.session import cut_lineage
 
 KS = (5, 10, 20, 50)
 
@@ -89,6 +92,35 @@ def cluster_sweep(articles: DataFrame, pairs: DataFrame, gold: DataFrame, thresh
     return result
 
 
+def component_sweep(articles: DataFrame, pairs: DataFrame, gold: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Accepted pairs, components and their pairwise metrics for every threshold, from one run over the pairs.
+
+    The maximum spanning forest of the pairs that no block forbids keeps, at every threshold, the components of all
+    pairs above it. So the thresholds only cut the forest, which has fewer edges than there are articles, and all of
+    them are closed together.
+    """
+    levels = F.array(*[F.lit(float(t)) for t in sorted(set(thresholds))])
+    open_ = pairs.where(F.col("reason.hard_block").isNull())
+    forest = minimum_forest(open_.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), (-F.col("reason.score")).alias("weight")))
+    cut = forest.select("a", "b", F.explode(F.filter(levels, lambda t: t <= -F.col("weight"))).alias("threshold"))
+    node = lambda c: F.concat_ws("|", "threshold", c)  # noqa: E731  one graph holds the levels side by side
+    parts = connected_components(cut.select(node("a").alias("src"), node("b").alias("dst")), alone=SMALL_GRAPH)
+    everyone = articles.select("id", F.explode(levels).alias("threshold")).withColumn("node", node("id"))
+    placed = everyone.join(parts.select(F.col("id").alias("node"), "component"), "node", "left").select("threshold", "id", F.coalesce("component", "node").alias("cluster"))
+    placed = cut_lineage(placed.join(gold.select("id", F.col("cluster").alias("gold")), "id", "left"))
+    pairs_of = lambda n: F.coalesce(F.sum((n * (n - 1) / 2).cast("long")), F.lit(0)).cast("long")
+    n = F.col("n")
+    sized = placed.groupBy("threshold", "cluster").agg(F.count(F.lit(1)).alias("n"), F.count("gold").alias("m"))
+    made = sized.groupBy("threshold").agg(
+        F.count(F.lit(1)).alias("clusters"), F.count_if(n == 1).alias("singletons"), F.count_if(n > 1).alias("multi_article_clusters"), pairs_of(F.col("m")).alias("predicted"))
+    together = lambda *keys: placed.where("gold IS NOT NULL").groupBy("threshold", *keys).agg(F.count(F.lit(1)).alias("n")).groupBy("threshold")
+    right = together("cluster", "gold").agg(pairs_of(n).alias("tp"))
+    wanted = together("gold").agg(pairs_of(n).alias("positives"))
+    kept = open_.select(F.explode(F.filter(levels, lambda t: t <= F.col("reason.score"))).alias("threshold")).groupBy("threshold").agg(F.count(F.lit(1)).alias("accepted_pairs"))
+    rows = made.join(right, "threshold", "left").join(wanted, "threshold", "left").join(kept, "threshold", "left").na.fill(0, ["tp", "positives", "accepted_pairs"])
+    return precision_recall(rows)
+
+
 def _share(size: int, share: float, available: bool) -> int:
     """Half-even rounding, at least one where there is anything to pick."""
     return max(1, round(size * share)) if available else 0

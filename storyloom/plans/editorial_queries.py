@@ -765,6 +765,31 @@ def a23(spark, folder):
     return each.groupBy("threshold").agg(F.count_if(accepted(F.col("threshold"))).alias("accepted_pairs"))
 
 
+@catalogue.add(
+    "a23_recluster_sweep",
+    f"""WITH RECURSIVE {LABELS_SQL}, t AS (SELECT CAST(unnest([0.25, 0.55, 0.75, 0.95]) AS DOUBLE) AS threshold),
+    art AS (SELECT doc_id AS id, doc_id - doc_id % 4 AS gold FROM documents),
+    ok AS (SELECT threshold, left_id, right_id FROM prs JOIN t ON NOT blocked AND score >= threshold WHERE right_id IN (SELECT doc_id FROM documents)),
+    e AS (SELECT threshold, left_id AS a, right_id AS b FROM ok UNION SELECT threshold, right_id, left_id FROM ok),
+    reach AS (SELECT threshold, a AS id, a AS low FROM e UNION SELECT e.threshold, e.b, r.low FROM reach r JOIN e ON e.threshold = r.threshold AND e.a = r.id),
+    comp AS (SELECT threshold, id, min(low) AS cluster FROM reach GROUP BY ALL),
+    m AS (SELECT threshold, id, gold, coalesce(cluster, id) AS cluster FROM art CROSS JOIN t LEFT JOIN comp USING (threshold, id)),
+    s AS (SELECT threshold, cluster, count(*) AS n FROM m GROUP BY ALL), g AS (SELECT threshold, gold, count(*) AS n FROM m GROUP BY ALL), c AS (SELECT threshold, cluster, gold, count(*) AS n FROM m GROUP BY ALL),
+    r AS (SELECT threshold, (SELECT count(*) FROM ok WHERE ok.threshold = t.threshold) AS accepted_pairs, (SELECT count(*) FROM s WHERE s.threshold = t.threshold) AS clusters,
+      (SELECT count(*) FROM s WHERE s.threshold = t.threshold AND n = 1) AS singletons, (SELECT count(*) FROM s WHERE s.threshold = t.threshold AND n > 1) AS multi_article_clusters,
+      (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM s WHERE s.threshold = t.threshold) AS predicted, (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM c WHERE c.threshold = t.threshold) AS tp,
+      (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM g WHERE g.threshold = t.threshold) AS positives FROM t),
+    q AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS p, CASE WHEN positives > 0 THEN tp / positives ELSE 0 END AS rc FROM r)
+    SELECT threshold, accepted_pairs, clusters, singletons, multi_article_clusters, predicted, tp, positives, round(p, 4) AS precision, round(rc, 4) AS recall,
+      round(CASE WHEN p > 0 AND rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END, 4) AS f1 FROM q""",
+)
+def a23_recluster(spark, folder):
+    """Components at four thresholds from one forest, measured against groups of four neighbouring ids."""
+    docs = tb.read_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") - F.col("doc_id") % 4).alias("cluster"))
+    pairs = _label_tables(spark, folder)[1].join(docs.select(F.col("id").alias("right_id")), "right_id", "left_semi")
+    return ev.component_sweep(docs, pairs, docs, [0.25, 0.55, 0.75, 0.95])
+
+
 @catalogue.add(
     "jn10_snapshot_compare",
     """WITH b AS (SELECT o_orderpriority AS source, count(*) AS n FROM orders WHERE year(o_orderdate) = 1995 GROUP BY ALL), c AS (SELECT o_orderpriority AS source, count(*) AS n FROM orders WHERE year(o_orderdate) = 1996 GROUP BY ALL),

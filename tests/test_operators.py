@@ -4,6 +4,7 @@ import math
 import random
 from itertools import product
 
+import pytest
 from pyspark.sql import functions as F
 
 from storyloom import lexicons as lx
@@ -157,3 +158,30 @@ def test_opinion_rules_and_penalties(spark):
 def test_default_vocabularies_are_ordered():
     assert list(lx.TOPIC_BUCKETS) == ["politics", "society", "international", "economy"]
     assert len(lx.CANONICAL_TAGS) == 41 and {c for c in lx.SECTION_TAGS.values()} <= {t[0] for t in lx.CANONICAL_TAGS}
+
+
+def shared_by_force(rows, k, max_days):
+    out = {}
+    for i, ts, keys in rows:
+        options = []
+        for j, other, theirs in rows:
+            days = abs((ts - other) // nearest.DAY_US)
+            shared = len(set(keys) & set(theirs))
+            if i != j and shared and days <= max_days:
+                options.append((-(shared + max(0.0, 1 - days / max_days)), j, shared, days))
+        for _, j, shared, days in sorted(options)[:k]:
+            out[i, j] = (shared, days)
+    return out
+
+
+@pytest.mark.parametrize(("kinds", "least", "most"), [(15, 12, 12), (40, 1, 12), (12, 12, 12), (6, 0, 4)])
+def test_shared_keys_of_rows_with_many_frequent_keys(spark, kinds, least, most):
+    rng = random.Random(kinds)
+    rows = []
+    for i in range(220):
+        day = rng.choice([0, 0, 0, 1, 3, 9, 20]) + rng.choice([0, 0.5])
+        keys = rng.sample([f"key{x}" for x in range(kinds)], min(kinds, rng.randint(least, most)))
+        rows.append((i, int(day * nearest.DAY_US), keys + ([f"rare{i // 2}"] if i % 3 == 0 else [])))
+    df = spark.createDataFrame(rows, "id long, ts long, keys array<string>")
+    got = {(r["seed"], r["other"]): (r["overlap"], r["days"]) for r in nearest.shared_key_candidates(df, 4, 7, hot=5).collect()}
+    assert got == shared_by_force(rows, 4, 7)
