@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from storyloom.operators.graph import SMALL_GRAPH, connected_components
 from storyloom.operators.spanning import best_edges, ordered
-from storyloom.operators.vectors import QUERY_ROWS, SLACK, _Index, _matrix, distance, nearest_neighbors
+from storyloom.operators.vectors import SLACK, _Index, _matrix, distance, nearest_neighbors
 from storyloom.session import cut_lineage
 
 FLOOR = 1e-6  # distances below this count as equal, so that 1 / distance stays finite
@@ -51,7 +51,7 @@ def _cores(lists: DataFrame, copies: DataFrame, min_samples: int) -> DataFrame:
 
 
 def _extent(index: _Index, labels: DataFrame) -> list:
-    """(cell, low, high): the smallest and the largest component of every cell; at most MAX_PIVOTS rows."""
+    """(cell, low, high): the smallest and the largest component of every cell; at most COARSE rows."""
     placed = index.data.select(F.col("rep").alias("id"), "cell").join(labels, "id")
     return placed.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).collect()
 
@@ -61,7 +61,7 @@ def _lightest_outside(index: _Index, asked: DataFrame, labels: DataFrame, extent
 
     labels: id, comp, core. Cells that hold one component only are not searched for it.
     """
-    pivots, radius, n_blocks = index.pivots, index.radius, index.n_blocks
+    pivots, radius = index.pivots, index.radius
     pure = np.full(len(radius), -1, dtype=np.int64)
     for r in extent:
         if r["low"] == r["high"]:
@@ -77,16 +77,13 @@ def _lightest_outside(index: _Index, asked: DataFrame, labels: DataFrame, extent
             go = away - radius[live] <= pdf["radius"].to_numpy()[:, None] + SLACK
             go &= mixed[live] | (pure[live] != pdf["comp"].to_numpy()[:, None])
             which, cell = np.nonzero(go)
-            yield pdf[["id", "v", "comp", "core"]].iloc[which].assign(cell=live[cell].astype("int32"))
+            yield pdf[["id", "v", "comp", "core", "radius"]].iloc[which].assign(cell=live[cell].astype("int32"))
 
     queries = asked.join(index.distinct.withColumnRenamed("rep", "id"), "id").select("id", "v", "comp", "core", "radius")
-    visits = cut_lineage(queries.mapInPandas(plan, "id long, v array<double>, comp long, core double, cell int"))
-    load = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chunks = F.element_at(F.array(*[F.lit(max(1, math.ceil(load.get(c, 0) / QUERY_ROWS))) for c in range(len(n_blocks))]), F.col("cell") + 1)
-    blocks = F.element_at(F.array(*[F.lit(int(max(1, b))) for b in n_blocks]), F.col("cell") + 1)
-    left = visits.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"))
+    visits = queries.mapInPandas(plan, "id long, v array<double>, comp long, core double, radius double, cell int")
+    asked = cut_lineage(index.within(visits, "radius").select("id", "v", "comp", "core", "cell", "block"))
     placed = index.data.withColumnRenamed("rep", "id").join(labels, "id")
-    right = placed.select("id", "v", "comp", "core", "cell", "block", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    left, right = index.met(asked, placed.select("id", "v", "comp", "core", "cell", "block"), "id")
 
     def lightest(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(d):

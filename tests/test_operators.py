@@ -185,3 +185,27 @@ def test_shared_keys_of_rows_with_many_frequent_keys(spark, kinds, least, most):
     df = spark.createDataFrame(rows, "id long, ts long, keys array<string>")
     got = {(r["seed"], r["other"]): (r["overlap"], r["days"]) for r in nearest.shared_key_candidates(df, 4, 7, hot=5).collect()}
     assert got == shared_by_force(rows, 4, 7)
+
+
+@pytest.mark.parametrize(("coarse", "block"), [(4, 6), (1, 9), (1024, 2_000)])
+def test_neighbours_through_divided_cells(spark, monkeypatch, coarse, block):
+    monkeypatch.setattr(vc, "COARSE", coarse)
+    monkeypatch.setattr(vc, "BLOCK_ROWS", block)
+    monkeypatch.setattr(vc, "QUERY_ROWS", 25)
+    rng = random.Random(4)
+    centres = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(3)]
+    rows = [(i, [x + rng.gauss(0, 0.3) for x in rng.choice(centres)]) for i in range(150)]
+    rows += [(500 + i, rows[0][1]) for i in range(20)] + [(700, [2 * x for x in rows[3][1]])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    unit = {i: [x / math.sqrt(sum(y * y for y in v)) for x in v] for i, v in rows}
+    want = {}
+    for i, v in unit.items():
+        near = sorted((-round(sum(a * b for a, b in zip(v, w)), 9), j) for j, w in unit.items() if j != i)[:4]
+        want[i] = [s for s, _ in near]
+    exact = vc.nearest_neighbors(df, 4)
+    got = {}
+    for r in exact.orderBy("seed", "rank").collect():
+        got.setdefault(r["seed"], []).append(-round(r["similarity"], 9))
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-8) for i in want)
+    share = vc.recall(exact, vc.nearest_neighbors(df, 4, probes=8)).first()["recall"]
+    assert share >= 0.9
