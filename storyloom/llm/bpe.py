@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import map_texts
+from storyloom.llm.common import Shipped, map_texts
 
 #: Encoded words that a task remembers; the memory is emptied when full, results don't depend on it.
 REMEMBERED = 250_000
@@ -209,7 +209,7 @@ class Encoder:
 
 def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
     """`kept` (struct of the `keep` columns), `ids` array<int>, `decoded` string for every row."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path or default_path()))
+    vocabulary = Shipped(docs.sparkSession, Vocabulary(path or default_path()))
 
     def make():
         gc.disable()  # large dicts of strings and numbers; the next task collects what is left in cycles

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import gc
+import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -51,6 +53,17 @@ def map_texts(df: DataFrame, text: str, keep: list[str], make: Callable, fields:
     return source.mapInArrow(run, schema)
 
 
+class Shipped:
+    """A broadcast model that carries its classes by value, so that executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, model):
+        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+    @property
+    def value(self):
+        return pickle.loads(self.packed.value)
+
+
 def crc_rest(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`: the fold of a document."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts

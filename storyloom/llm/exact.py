@@ -114,16 +114,18 @@ def groups(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, key_bi
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` that stay. Rows whose doc_id repeats (or is null) are told apart by their texts."""
     decided = groups(docs, text)
+    whole = docs.select(F.struct("*").alias("kept"))  # columns of any name travel inside
+    norm = normalised(F.col(f"kept.{text}"))
     times = decided.groupBy("doc_id").agg(F.count("*").alias("n"))
     again = times.filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id"))
     once = decided.filter("kept AND doc_id IS NOT NULL").join(again, F.col("doc_id") == F.col("_id"), "left_anti").select(F.col("doc_id").alias("_id"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    keepers = decided.filter("kept").join(again, same, "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_keeper"))
-    longest = Window.partitionBy("row.doc_id", "_sha").orderBy(F.char_length(F.coalesce(F.col(f"row.{text}"), F.lit(""))).desc(), F.col(f"row.{text}").isNull())
-    rows = docs.join(again, same, "left_semi").select(F.struct("*").alias("row"), F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("_sha"))
+    same = F.col("kept.doc_id").eqNullSafe(F.col("_id"))
+    keepers = decided.filter("kept").join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_keeper"))
+    longest = Window.partitionBy("kept.doc_id", "_sha").orderBy(F.char_length(F.coalesce(F.col(f"kept.{text}"), F.lit(""))).desc(), F.col(f"kept.{text}").isNull())
+    rows = whole.join(again, same, "left_semi").withColumn("_sha", F.sha2(norm.cast("binary"), 256))
     rows = rows.withColumn("_at", F.row_number().over(longest)).filter("_at = 1")
-    rows = rows.join(keepers, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_keeper")), "left_semi")
-    return docs.join(once, F.col("doc_id") == F.col("_id"), "left_semi").unionByName(rows.select("row.*"))
+    rows = rows.join(keepers, same & (F.col("_sha") == F.col("_keeper")), "left_semi").select("kept")
+    return whole.join(once, F.col("kept.doc_id") == F.col("_id"), "left_semi").unionByName(rows).select("kept.*")
 
 
 SQL = r"""

@@ -318,7 +318,8 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, text: str =
     decided = groups(docs, width, percent, text)
     kept = decided.filter("kept").select("doc_id")
     gone = decided.filter("NOT kept").select(F.col("doc_id")).join(kept, "doc_id", "left_anti").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    whole = docs.select(F.struct("*").alias("kept"))  # columns of any name travel inside
+    return whole.join(gone, F.col("kept.doc_id") == F.col("_gone"), "left_anti").select("kept.*")
 
 
 SQL = r"""

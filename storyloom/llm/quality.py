@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import map_texts, stored
+from storyloom.llm.common import Shipped, map_texts, stored
 
 #: Labelled texts a kind that the model is fitted on, at most, and characters of them in total.
 FIT_ROWS, FIT_BYTES = 1500, 12_000_000
@@ -159,7 +159,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
 
 def score(docs: DataFrame, labels: DataFrame, keep: list[str], learn: Column, text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """`kept` (struct of the `keep` columns) and score of every row; learns from rows of `labels` where `learn` holds."""
-    model = docs.sparkSession.sparkContext.broadcast(Model(*labelled_sample(docs, labels, label, learn, fit_rows, text, fit_bytes)))
+    model = Shipped(docs.sparkSession, Model(*labelled_sample(docs, labels, label, learn, fit_rows, text, fit_bytes)))
 
     def make():
         scorer = model.value.scorer()

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from storyloom.llm.common import map_texts
+from storyloom.llm.common import Shipped, map_texts
 from storyloom.llm.quality import FIT_BYTES, labelled_sample
 
 #: Labelled texts a kind that the model is fitted on, at most.
@@ -27,6 +27,8 @@ FIT_ROWS = 700
 WINDOW, STRIDE = 16, 8
 #: Buckets of words and of character n-grams, width of an embedding, units of the network in each direction.
 WORDS, GRAMS, WIDE, UNITS = 1 << 14, 1 << 16, 4, 8
+#: Buckets of words for their log-odds: so many that the words of the fit sample seldom share one.
+ODDS = 1 << 20
 #: Steps of training, windows a step, and rounds in which the windows are chosen anew.
 STEPS, BATCH, CHOICES = 600, 128, 5
 #: Folds of the labelled texts for the log-odds.
@@ -60,7 +62,8 @@ class Parts:
                 self.grams.append(((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % GRAMS)
                 self.fits.append((self.of[ends] == self.of) & (np.arange(len(codes)) + n <= len(codes)))
         whole = np.add.reduceat(codes * (np.uint64(31) ** (np.arange(len(codes)) - self.starts[self.of]).astype(np.uint64)), self.starts) if len(words) else np.zeros(0, np.uint64)
-        self.word = ((whole ^ (whole >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % WORDS
+        mixed = ((whole ^ (whole >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
+        self.word, self.odd = mixed % WORDS, mixed % ODDS
         self.count = np.maximum(1, sum(np.add.reduceat(f.astype(np.int64), self.starts) for f in self.fits)) if len(words) else np.zeros(0)
 
     def longer(self, h: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
@@ -76,7 +79,7 @@ class Parts:
         emb = sum(p["gram"][g] * f[:, None] for g, f in zip(self.grams, self.fits))
         top = np.maximum(np.maximum.reduceat(top, self.starts), -4.0)
         mean, emb = (np.add.reduceat(x, self.starts, axis=0) for x in (mean, emb))
-        return np.c_[of_word[self.word], top, mean / self.count, p["word"][self.word], emb / self.count[:, None]].astype(np.float32)
+        return np.c_[of_word[self.odd], top, mean / self.count, p["word"][self.word], emb / self.count[:, None]].astype(np.float32)
 
 
 def windows(ids: np.ndarray) -> np.ndarray:
@@ -206,10 +209,10 @@ def log_odds(parts: Parts, sets: list[np.ndarray], labels: np.ndarray) -> tuple[
     share = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
     order = np.argsort(parts.of, kind="stable")
     first = np.searchsorted(parts.of[order], np.arange(len(parts.starts) + 1))
-    hits = [np.zeros((2, WORDS)), np.zeros((2, GRAMS))]
+    hits = [np.zeros((2, ODDS)), np.zeros((2, GRAMS))]
     for ids, y in zip(sets, labels):
         words = np.unique(ids) - 1
-        hits[0][y, np.unique(parts.word[words])] += 1
+        hits[0][y, np.unique(parts.odd[words])] += 1
         spots = np.concatenate([np.arange(first[w], first[w + 1]) for w in words]) if len(words) else np.zeros(0, np.int64)
         grams = np.concatenate([g[spots][f[spots]] for g, f in zip(parts.grams, parts.fits)]) if len(spots) else np.zeros(0, np.int64)
         hits[1][y, np.unique(grams)] += 1
@@ -306,7 +309,7 @@ class Scorer:
 
 def score(docs: DataFrame, labels: DataFrame, keep: list[str], learn: Column, text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """`kept` (struct of the `keep` columns) and score of every row; learns from rows of `labels` where `learn` holds."""
-    model = docs.sparkSession.sparkContext.broadcast(Model(*labelled_sample(docs, labels, label, learn, fit_rows, text, fit_bytes)))
+    model = Shipped(docs.sparkSession, Model(*labelled_sample(docs, labels, label, learn, fit_rows, text, fit_bytes)))
 
     def make():
         gc.disable()  # large dicts of strings and numbers; the next task collects what is left in cycles
