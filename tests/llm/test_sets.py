@@ -346,3 +346,25 @@ def components_by_force_cached(rows):
     if key not in CACHE:
         CACHE[key] = components_by_force(rows.items(), 5)
     return CACHE[key]
+
+
+@pytest.mark.parametrize(("sizes", "shards", "cut"), [([2] * 240, 24, 0), ([5] * 96, 24, 0), ([2] * 150 + [1] * 180, 8, 0), ([3, 2, 4, 5] * 40, 7, 6), ([480], 8, 1)])
+def test_small_groups_are_not_cut_where_there_is_room(spark, sizes, shards, cut):
+    """Pairs and fives that fill all shards, groups beside single rows, and mixed groups: cut at most where two shards meet."""
+    texts = [f"group {g}" for g, k in enumerate(sizes) for _ in range(k)]
+    random.Random(2).shuffle(texts)
+    spread, counts = defaultdict(set), Counter()
+    for r in sharding.shard(frame(spark, enumerate(texts)), shards).collect():
+        spread[texts[r.doc_id]].add(r["shard"])
+        counts[r["shard"]] += 1
+    assert max(counts.values()) - min(counts.values()) <= 1 and sum(counts.values()) == len(texts)
+    assert sum(len(s) > 1 for s in spread.values()) <= cut
+
+
+def test_dedup_stages_keep_columns_of_any_name(spark):
+    rows = [(1, "same words here and there", 7, 8, 9, "a"), (2, "same  words here and there", 7, 8, 9, "b"), (3, "other", 7, 8, 9, "c"), (3, "another", 7, 8, 9, "d"), (None, "no id", 7, 8, 9, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, _gone long, _sha long, `kept.row` string")
+    kept = exact.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted(r["kept.row"] for r in kept.collect()) == ["b", "c", "d", "e"]
+    near_kept = near.deduplicated(docs)
+    assert near_kept.columns == docs.columns and sorted(r["kept.row"] for r in near_kept.collect()) == ["a", "c", "d", "e"]
