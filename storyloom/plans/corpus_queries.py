@@ -9,6 +9,7 @@ from storyloom.functions import text as tx
 from storyloom.operators import changes as ch
 from storyloom.operators import corpus, discovery, enrich
 from storyloom.operators.ranking import pinned, round_robin, top_k
+from storyloom.plans import entity_sql as es
 from storyloom.plans import sqltext as q
 from storyloom.plans import vocab
 from storyloom.plans.registry import Catalogue
@@ -442,12 +443,12 @@ def _entity_rows(spark, folder):
     return enrich.canonicalize(enrich.extract_entities(tb.articles(spark, folder), vocab.ENRICH), vocab.ENRICH)
 
 
-@catalogue.add("c1_entities")
+@catalogue.add("c1_entities", es.C1)
 def c1(spark, folder):
     return enrich.extract_entities(tb.articles(spark, folder), vocab.ENRICH).select("id", "entity_type", "name", "relevance", "place")
 
 
-@catalogue.add("c1b_canonical_entities")
+@catalogue.add("c1b_canonical_entities", es.C1B)
 def c1b(spark, folder):
     rows = _entity_rows(spark, folder)
     return rows.groupBy("entity_type", "slug", "canonical_source").agg(
@@ -455,7 +456,7 @@ def c1b(spark, folder):
     )
 
 
-@catalogue.add("c1b_new_aliases")
+@catalogue.add("c1b_new_aliases", es.C1B_NEW)
 def c1b_aliases(spark, folder):
     rows = _entity_rows(spark, folder)
     known = rows.where(F.length("name") % 3 == 0).select(
@@ -464,7 +465,7 @@ def c1b_aliases(spark, folder):
     return enrich.new_aliases(rows, known.distinct(), vocab.ENRICH)
 
 
-@catalogue.add("a7_entity_mentions")
+@catalogue.add("a7_entity_mentions", es.A7)
 def a7(spark, folder):
     return enrich.mentions(_entity_rows(spark, folder))
 
@@ -492,14 +493,15 @@ def c8(spark, folder):
 
 @catalogue.add(
     "src2_enriched_articles",
-    f"""WITH {q.ARTICLES} SELECT id, source, {TYPES_SQL}, array_to_string({TAGS_SQL}, ',') AS tags, array_to_string({PHRASES_SQL}, '|') AS phrases FROM articles
-    WHERE published_at >= TIMESTAMP '2024-01-21 00:00:00'""",
+    f"""WITH {q.ARTICLES}, {es.ENTITIES}, {es.SLUGS} SELECT id, source, {TYPES_SQL}, array_to_string({TAGS_SQL}, ',') AS tags, array_to_string({PHRASES_SQL}, '|') AS phrases,
+      coalesce(array_to_string(entity_slugs, ','), '') AS entity_slugs FROM articles LEFT JOIN slugs USING (id) WHERE published_at >= TIMESTAMP '2024-01-21 00:00:00'""",
 )
 def src2(spark, folder):
     rows = enrich.enriched(tb.recent(tb.articles(spark, folder), AS_OF, 10), vocab.ENRICH)
     return rows.select(
         "id", "source", "article_type", "article_type_confidence",
         F.array_join("tag_codes", ",").alias("tags"), F.array_join("key_phrases", "|").alias("phrases"),
+        F.array_join("entity_slugs", ",").alias("entity_slugs"),
     )
 
 

@@ -10,6 +10,7 @@ from storyloom.operators import nearest as nr
 from storyloom.operators import pairs as pr
 from storyloom.operators import scoring as sc
 from storyloom.operators import vectors as vc
+from storyloom.plans import entity_sql as es
 from storyloom.plans import sqltext as q
 from storyloom.plans import vocab
 from storyloom.plans.registry import Catalogue
@@ -209,7 +210,48 @@ def c2(spark, folder):
     return found.select("left_id", "right_id", F.array_join("origins", ",").alias("origins"), "rank")
 
 
-@catalogue.add("c2_origin_counts")
+def pairs_sql(limits: pr.CandidateLimits, phrases: str) -> str:
+    """CTEs up to `pairs`: candidate pairs of all five origins."""
+    order = {o: i + 1 for i, o in enumerate(limits.order)}
+    kept = " OR ".join(f"(origin = '{o}' AND r <= {limits.of(o)})" for o in limits.order)
+    shared = lambda n, origin: f"SELECT seed, other, {order[origin]} AS pri, '{origin}' AS origin, {n} + c AS s FROM p WHERE {n} > 0"
+    extra = f"""UNION ALL SELECT seed, other, coalesce(used, 0) + turn, ['semantic_backfill'] FROM (
+      SELECT r.*, used, row_number() OVER (PARTITION BY r.seed ORDER BY r.r) AS turn FROM r ANTI JOIN c ON c.seed = r.seed AND c.other = r.other
+      LEFT JOIN (SELECT seed AS us, count(*) AS used FROM c GROUP BY seed) u ON us = r.seed WHERE origin = 'semantic_neighbor'
+    ) WHERE turn <= least({limits.backfill}, {limits.per_seed} - coalesce(used, 0))""" if limits.high_recall else ""
+    return f"""{q.ARTICLES}, {es.ENTITIES}, {es.SLUGS}, {KNN_SQL.replace('rank <= 5', f'rank <= {limits.semantic_fetch}')},
+t AS (SELECT a.id, published_at, {TAGS_SQL} AS tags, {phrases} AS phrases, coalesce(entity_slugs, []) AS slugs FROM articles a LEFT JOIN slugs USING (id)),
+p AS (SELECT a.id AS seed, b.id AS other, len(list_intersect(a.tags, b.tags)) AS nt, len(list_intersect(a.phrases, b.phrases)) AS np, len(list_intersect(a.slugs, b.slugs)) AS ne, greatest(0.0, 1 - {DAYS_SQL} / 7.0::DOUBLE) AS c
+  FROM t a JOIN t b ON a.id <> b.id WHERE {DAYS_SQL} <= 7),
+o AS (SELECT seed, other, {order['temporal_window']} AS pri, 'temporal_window' AS origin, c AS s FROM p
+  UNION ALL {shared('nt', 'shared_tag')} UNION ALL {shared('ne', 'shared_entity')} UNION ALL {shared('np', 'lexical_neighbor')}
+  UNION ALL SELECT k.seed, k.other, {order['semantic_neighbor']}, 'semantic_neighbor', greatest(0, k.sim) FROM knn k JOIN articles a ON a.id = k.seed JOIN articles b ON b.id = k.other WHERE {DAYS_SQL} <= 7),
+r AS (SELECT *, row_number() OVER (PARTITION BY seed, origin ORDER BY s DESC, other) AS r FROM o),
+f AS (SELECT seed, other, min((pri, r)) AS first, list(origin) AS origins FROM r WHERE {kept} GROUP BY seed, other),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY first) AS pos FROM f) WHERE pos <= {limits.per_seed}),
+chosen AS (SELECT seed, other, pos, origins FROM c {extra}),
+pairs AS (SELECT least(seed, other) AS left_id, greatest(seed, other) AS right_id, list_sort(list_distinct(flatten(list(origins)))) AS origins, min(pos) AS rank FROM chosen GROUP BY 1, 2)"""
+
+
+LOWERED = f"list_distinct(list_filter(list_transform({PHRASES_SQL}, lambda p: lower(p)), lambda p: p <> ''))"
+
+
+def _keyed(spark, folder):
+    rows = story_articles(spark, folder)
+    return rows.select("id", "published_at", "tag_codes", "entity_slugs", F.array_distinct(F.transform("key_phrases", lambda p: F.lower(p))).alias("phrase_keys"))
+
+
+@catalogue.add("c2_five_origins", f"WITH {pairs_sql(pr.CandidateLimits(), LOWERED)} SELECT left_id, right_id, array_to_string(origins, ',') AS origins, rank FROM pairs")
+def c2_five(spark, folder):
+    """Candidate pairs of all five origins, entities among them."""
+    found = pr.candidate_pairs(_keyed(spark, folder), _neighbors(spark, folder))
+    return found.select("left_id", "right_id", F.array_join("origins", ",").alias("origins"), "rank")
+
+
+COUNTS_SQL = f"WITH {pairs_sql(pr.HIGH_RECALL, PHRASES_SQL)} SELECT origin, count(*) AS pairs FROM (SELECT unnest(origins) AS origin FROM pairs) GROUP BY origin"
+
+
+@catalogue.add("c2_origin_counts", COUNTS_SQL)
 def c2_counts(spark, folder):
     rows = story_articles(spark, folder)
     keyed = rows.select("id", "published_at", "tag_codes", "entity_slugs", F.col("key_phrases").alias("phrase_keys"))
