@@ -1,10 +1,10 @@
 """Licence scan: sparse TF-IDF cosine of lines to templates, then inheritance from the nearest directory above.
 
 DataFrame operations only. Lines and paragraphs of whole texts become token counts; weights are tf x idf, with idf over the
-templates (a token that no template has weighs like one that no document has). A line can reach the threshold only
-if it holds tokens that its template can't do without, so texts without any such tokens are skipped by plain searches.
-Its cosine is at most the norm of the template over the tokens that both have, so of the lines left only those are
-counted for which that bound reaches the threshold for some template. Neither step loses a line.
+templates (a token that no template has weighs like one that no document has). The cosine of a
+line is at most the norm of the template over the tokens that both have. That bound is taken first for whole texts, whose
+tokens include those of all their lines, then for the lines of the texts that are left; only lines for which it reaches
+the threshold for some template are counted. Neither step loses a line.
 The product with the template matrix is a join on tokens. A file with a licence of its own keeps it; others take that
 of the nearest directory above them whose licence files state one.
 
@@ -18,7 +18,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +27,6 @@ from storyloom.llm.common import stored
 #: Least cosine at which a line states a licence.
 THRESHOLD = 0.75
 
-#: Tokens that are searched for together where a line may do without rare ones.
-DEPTH = 3
 #: Words of the templates that ordinary text is full of; the search for lines does without them where it can.
 COMMON = frozenset(
     "a an and any are as available be by can charge code conditions either except file following for form forms free from general in into is it "
@@ -77,7 +74,7 @@ class Weights:
         seen = Counter(t for c in counts for t in c)
         self.unseen = math.log(1 + len(templates)) + 1
         self.idf = {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in seen.items()}
-        self.rows, self.reach = [], []
+        self.rows, self.needed, self.reach = [], set(), []
         #: scores are rounded to six digits before they are compared
         self.least = (threshold - 1e-6) ** 2
         for (name, text), c in zip(templates, counts, strict=True):
@@ -85,52 +82,28 @@ class Weights:
             norm = math.sqrt(sum(w * w for w in weight.values()))
             self.rows += [(text, name, t, w / norm, self.idf[t]) for t, w in weight.items()]
             self.reach.append({t: (w / norm) ** 2 for t, w in weight.items()})
-        self.any_of, self.all_of = set(), set()
-        for reach in self.reach:
-            self._ask(reach)
-        self.needed = self.any_of.union(*self.all_of)
-
-    def _ask(self, reach: dict[str, float]) -> None:
-        """What a line must hold for this template: one of its rare tokens, or one of some sets of its other tokens."""
-        rest = sum(reach.values())
-        for t in sorted(reach, key=lambda t: (-reach[t], t)):
-            if rest >= self.least and len(t) > 3 and t not in COMMON:
-                self.any_of.add(t)
-                rest -= reach[t]
-        self._sets(frozenset(), {t: r for t, r in reach.items() if t not in self.any_of})
-
-    def _sets(self, must: frozenset, options: dict[str, float], given: float = 0.0) -> None:
-        """Sets of tokens one of which a line holds that reaches the threshold by `must` and some of the options."""
-        total = given + sum(options.values())
-        if total < self.least:
-            return
-        needed = {t: r for t, r in options.items() if total - r < self.least}
-        must, given = must.union(needed), given + sum(needed.values())
-        options = {t: r for t, r in options.items() if t not in needed}
-        if given >= self.least or len(must) >= DEPTH or not options:
-            self.all_of.add(must)
-            return
-        t = min(options, key=lambda t: (t in COMMON or t.isdigit(), -options[t], t))
-        rest = {u: r for u, r in options.items() if u != t}
-        self._sets(must | {t}, rest, given + options[t])
-        self._sets(must, rest, given)
-
-    def may_hold(self, low: Column) -> Column:
-        """Whether a text in lower case holds, anywhere, what some template asks for; plain searches, no line is lost."""
-        words = [t for t in sorted(self.any_of) if not any(o != t and o in t for o in self.any_of)]
-        tests = [F.contains(low, F.lit(t)) for t in words]
-        for must in sorted(map(sorted, (m for m in self.all_of if not any(o < m for o in self.all_of)))):
-            tests.append(reduce(Column.__and__, [F.contains(low, F.lit(t)) for t in sorted(must, key=lambda t: (-len(t), t))]))
-        return reduce(Column.__or__, tests)
-
-    def may_reach(self, tokens: Column) -> Column:
-        """Whether the bound for some template reaches the threshold; `tokens` are the distinct tokens of templates in a line."""
+            # tokens from the commonest on are spared as long as they alone can't reach the threshold
+            left = self.least * norm**2
+            for t in sorted(weight, key=lambda t: (t not in COMMON, len(t) > 2, self.idf[t], t)):
+                left -= weight[t] ** 2
+                if left <= 0:
+                    self.needed.add(t)
+
+    def may_reach(self, text: Column) -> Column:
+        """Whether the bound for some template reaches the threshold, by the distinct tokens of templates that a text holds."""
         vocabulary = sorted(self.idf)
         at = {t: i for i, t in enumerate(vocabulary)}
         shares = F.array(*[F.array(*[F.lit(r.get(t, 0.0)) for t in vocabulary]) for r in self.reach])
         index = F.create_map(*[F.lit(x) for t in vocabulary for x in (t, at[t])])
-        places = F.transform(tokens, lambda t: F.element_at(index, t))
-        return F.exists(shares, lambda row: F.aggregate(places, F.lit(0.0), lambda total, i: total + F.get(row, i)) >= self.least - 1e-12)
+        needed = F.array(*[F.lit(t) for t in sorted(self.needed)])
+        reaches = lambda places: F.exists(shares, lambda row: F.aggregate(places, F.lit(0.0), lambda total, i: total + F.get(row, i)) >= self.least - 1e-12)
+
+        def held(tokens: Column) -> Column:
+            places = F.transform(F.array_intersect(tokens, F.array(*[F.lit(t) for t in vocabulary])), lambda t: F.element_at(index, t))
+            return F.arrays_overlap(tokens, needed) & F.exists(F.array(places), reaches)
+
+        # an element of an array is computed once, where a column inside a lambda would be for every use
+        return F.exists(F.array(F.split(F.lower(text), "[^a-z0-9]+")), held)
 
 
 def stated(files: DataFrame, text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -140,10 +113,8 @@ def stated(files: DataFrame, text: str = "text", templates=TEMPLATES, threshold:
     cut = F.split(F.col(text), r"\r\n|\r|\n")
     lines = F.transform(cut, lambda x, i: F.struct(x.alias("line"), i.alias("at"), ((i == 0) | (i == F.size(cut) - 1)).alias("outer")))
     parts = F.transform(F.split(F.col(text), r"\n\s*\n"), lambda x: F.struct(x.alias("line"), F.lit(-1).alias("at"), F.lit(False).alias("outer")))
-    some = files.filter(w.may_hold(F.lower(F.col(text)))).select("file", F.explode(F.concat(lines, F.filter(parts, lambda p: F.instr(p["line"], "\n") > 0))).alias("l")).select("file", "l.line", "l.at", "l.outer")
-    some = some.withColumn("low", F.lower("line")).filter(w.may_hold(F.col("low")))
-    some = some.withColumn("tokens", F.regexp_extract_all("low", F.lit("([a-z0-9]+)"), 1)).drop("low")
-    some = some.filter(w.may_reach(F.array_intersect("tokens", F.array(*[F.lit(t) for t in sorted(w.idf)]))))
+    some = files.filter(w.may_reach(F.col(text))).select("file", F.explode(F.concat(lines, F.filter(parts, lambda p: F.instr(p["line"], "\n") > 0))).alias("l")).select("file", "l.line", "l.at", "l.outer").filter(w.may_reach(F.col("line")))
+    some = some.withColumn("tokens", F.regexp_extract_all(F.lower("line"), F.lit("([a-z0-9]+)"), 1))
     bags = some.select("file", "at", "outer", F.xxhash64("line").alias("part"), F.explode("tokens").alias("token"))
     counts = bags.groupBy("file", "at", "outer", "part", "token").agg(F.count("*").alias("tf"))
     idf = matrix.select("token", "idf").distinct()
