@@ -107,6 +107,26 @@ def coverage(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(n) for n, c in counters.items()])
 
 
+def page_summary(rows: DataFrame, facets: dict[str, Column], axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """Total, bounds, days and facets of a filtered page, from one scan by grouping sets.
+
+    One row a facet value (facet, value, n, matched, first_at, last_at, min and max of the axes) and one row with the
+    facet 'total'. `facets` names value columns; null values are no facet value. Partial counts meet in the shuffle,
+    so it carries a row a value and task, whatever the number of rows.
+    """
+    named = rows.select("is_match", "published_at", *axes, *[c.alias(f"f_{n}") for n, c in facets.items()])
+    keys = [F.col(f"f_{n}") for n in facets]
+    spans = [f(a).alias(f"{side}_{a}") for a in axes for side, f in (("min", F.min), ("max", F.max))]
+    grouped = named.groupingSets([[k] for k in keys] + [[]], *keys).agg(
+        F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.count_if("is_match").alias("matched"),
+        F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at"), *spans)
+    every = (1 << len(keys)) - 1
+    facet = F.coalesce(*[F.when(F.col("g") == every - (1 << (len(keys) - 1 - i)), name) for i, name in enumerate(facets)], F.lit("total"))
+    value = F.coalesce(*keys) if len(keys) > 1 else keys[0]
+    shown = grouped.withColumns({"facet": facet, "value": value}).where((F.col("facet") == "total") | F.col("value").isNotNull())
+    return shown.select("facet", "value", "n", "matched", "first_at", "last_at", *[f"{side}_{a}" for a in axes for side in ("min", "max")])
+
+
 def type_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("article_type", F.lit("unclear")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -444,6 +444,29 @@ def l5(spark, folder):
     return shown.select("id", "is_match", F.row_number().over(order).cast("long").alias("place"))
 
 
+@catalogue.add(
+    "l5_page_summary",
+    f"""{WITH}, m AS (SELECT *, {MATCH_SQL} AND cluster = 7 AS is_match, CAST(bias_confidence AS DOUBLE) AS x, CAST(cluster AS DOUBLE) AS y, CAST(id % 100 AS DOUBLE) AS z FROM base WHERE {FILTER_SQL}),
+    f AS (SELECT *, coalesce(article_type, 'unclear') AS ty, coalesce(analysis_status, 'pending') AS st, CASE WHEN {STRICT} THEN bias_label END AS bi, CAST(cluster AS VARCHAR) AS cl FROM m)
+    SELECT CASE WHEN grouping(ty) = 0 THEN 'article_type' WHEN grouping(st) = 0 THEN 'status' WHEN grouping(bi) = 0 THEN 'bias' WHEN grouping(cl) = 0 THEN 'cluster' ELSE 'total' END AS facet,
+      coalesce(ty, st, bi, cl) AS value, count(*) AS n, count(*) FILTER (is_match) AS matched, min(published_at) AS first_at, max(published_at) AS last_at,
+      min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z
+    FROM f GROUP BY GROUPING SETS ((ty), (st), (bi), (cl), ()) HAVING value IS NOT NULL OR facet = 'total'""",
+)
+def l5_summary(spark, folder):
+    """Total, bounds and facets of the highlighted explorer page."""
+    from dataclasses import replace
+
+    members = _articles(spark, folder).select("id", "cluster")
+    rows = ex.filtered(_joined(spark, folder), replace(FILTERS, highlight=True, story=7), members)
+    placed = rows.withColumns({"x": F.col("bias_confidence").cast("double"), "y": F.col("cluster").cast("double"), "z": (F.col("id") % 100).cast("double")})
+    facets = {
+        "article_type": F.coalesce("article_type", F.lit("unclear")), "status": F.coalesce("analysis_status", F.lit("pending")),
+        "bias": F.when(ed.strict_bias_match(), F.col("bias_label")), "cluster": F.col("cluster").cast("string"),
+    }
+    return ex.page_summary(placed, facets)
+
+
 @catalogue.add("a2_value_counts", f"{WITH} SELECT 'type' AS kind, coalesce(article_type, 'unclear') AS value, count(*) AS n FROM base GROUP BY ALL UNION ALL SELECT 'bias', bias_label, count(*) FROM base WHERE {STRICT} GROUP BY ALL")
 def a2(spark, folder):
     rows = _joined(spark, folder)

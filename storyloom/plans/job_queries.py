@@ -163,13 +163,28 @@ def _event_files(spark, folder):
     "SELECT event_type AS source, user_id AS url, arg_max(value, event_id) AS value, arg_max(props, event_id) AS props FROM events GROUP BY ALL",
 )
 def st1(spark, folder):
+    return _ingested(spark, folder).read()
+
+
+def _ingested(spark, folder):
     stream = _event_files(spark, folder).select(
         F.col("event_type").alias("source"), F.col("user_id").alias("url"), "value", "props", F.col("event_id").alias("position")
     )
-    table = jobs.VersionedTable(spark, jobs.work_folder(spark, "ingest"), "source string, url bigint, value double, props string")
-    query = jobs.ingest(stream, table, ["source", "url"], ["value", "props"], "position", jobs.work_folder(spark, "ingest-state"))
-    query.awaitTermination()
-    return table.read(query.lastProgress["batchId"])
+    table = jobs.KeyedTable(spark, jobs.work_folder(spark, "ingest"), "source string, url bigint, value double, props string", ["source", "url"], 16)
+    jobs.ingest(stream, table, ["value", "props"], "position", jobs.work_folder(spark, "ingest-state")).awaitTermination()
+    return table
+
+
+@catalogue.add(
+    "st1_batch_log",
+    f"""WITH RECURSIVE n AS (SELECT max(event_id) + 1 AS n FROM events), p AS (SELECT event_type, user_id, value, props, event_id, (SELECT CAST(max(i) AS BIGINT) FROM range({PARTS}) t(i) WHERE event_id >= n.n * i // {PARTS}) AS batch FROM events, n),
+    l AS (SELECT batch, event_type, user_id, arg_max(value, event_id) AS value, arg_max(props, event_id) AS props FROM p GROUP BY ALL),
+    w AS (SELECT *, lag((value, props)) OVER (PARTITION BY event_type, user_id ORDER BY batch) AS old FROM l)
+    SELECT batch, CASE WHEN old IS NULL THEN 'inserted' WHEN old = (value, props) THEN 'unchanged' ELSE 'updated' END AS status, count(*) AS n FROM w GROUP BY ALL""",
+)
+def st1_log(spark, folder):
+    """Inserted, updated and unchanged keys of every micro-batch."""
+    return _ingested(spark, folder).log().select("batch", "status", "n")
 
 
 @catalogue.add(

@@ -18,39 +18,71 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-class VersionedTable:
-    """A table kept as one folder per applied batch.
+class KeyedTable:
+    """A keyed table in buckets of the key's hash; a micro-batch reads and rewrites only the buckets that its keys fall in.
 
-    Batch n reads version n - 1 and writes version n, so a batch that runs again after a failure
-    overwrites its own output and nothing is applied twice.
+    Batch n is staged with a status for each row before anything is replaced. The staged rows then overwrite their
+    buckets, and the log of the batch (counts by status) is written last. A batch that runs again after a failure
+    takes what it had staged, so it has the same effect and the same counts wherever it stopped.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def version(self, batch: int) -> str:
-        return f"{self.path}/version={batch}"
-
-    def read(self, batch: int) -> DataFrame:
-        if batch < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.version(batch))
-
-
-def ingest(
-    stream: DataFrame, table: VersionedTable, keys: Sequence[str], fields: Sequence[str], position: str, checkpoint: str
-):
-    """Upsert every micro-batch into the table; returns the started query.
-
-    Each version also stores the counts of inserted, updated and unchanged rows of its batch.
-    """
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str], buckets: int = 64):
+        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path, schema, list(keys), buckets
+
+    def _there(self, path: str) -> bool:
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(found)
+
+    def _drop(self, path: str) -> None:
+        gone = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+    def _bucketed(self) -> DataFrame:
+        fields = f"{self.schema}, bucket int"
+        if not self._there(f"{self.path}/rows"):
+            return self.spark.createDataFrame([], fields)
+        return self.spark.read.schema(fields).parquet(f"{self.path}/rows")
+
+    def bucket(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def read(self) -> DataFrame:
+        return self._bucketed().drop("bucket")
+
+    def log(self) -> DataFrame:
+        """(batch, status, n) of all batches that are applied."""
+        return self.spark.read.schema("status string, n long, batch long").parquet(f"{self.path}/log")
+
+    def stage(self, rows: DataFrame, number: int, fields: Sequence[str], position: str) -> DataFrame:
+        """The touched buckets after the batch, with a status for each row, written once for each batch."""
+        path = f"{self.path}/staged/batch={number}"
+        if not self._there(f"{path}/_SUCCESS"):
+            touched = [r["bucket"] for r in rows.select(self.bucket().alias("bucket")).distinct().collect()]  # at most `buckets` numbers
+            held = self._bucketed().where(F.col("bucket").isin(touched)).drop("bucket")
+            merged = ch.upsert(held, rows, self.keys, fields, position).withColumn("bucket", self.bucket())
+            merged.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(f"{self.schema}, status string, bucket int").parquet(path)
+
+    def replace(self, staged: DataFrame) -> None:
+        """Each bucket becomes what is staged for it; others aren't touched. One task writes a bucket, so it stays few files."""
+        rows = staged.drop("status").repartition("bucket")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/rows")
+
+    def apply(self, rows: DataFrame, number: int, fields: Sequence[str], position: str) -> None:
+        done = f"{self.path}/log/batch={number}"
+        if self._there(f"{done}/_SUCCESS"):
+            return
+        staged = self.stage(rows, number, fields, position)
+        self.replace(staged)
+        staged.where("status <> 'kept'").groupBy("status").agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("overwrite").parquet(done)
+        self._drop(f"{self.path}/staged/batch={number}")
+
+
+def ingest(stream: DataFrame, table: KeyedTable, fields: Sequence[str], position: str, checkpoint: str):
+    """Upsert every micro-batch into the table; returns the started query."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        merged = ch.upsert(table.read(number - 1), batch, keys, fields, position)
-        merged.write.mode("overwrite").parquet(f"{table.path}/staged={number}")
-        staged = table.spark.read.parquet(f"{table.path}/staged={number}")
-        staged.groupBy("status").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{table.path}/counts={number}")
-        staged.drop("status").write.mode("overwrite").parquet(table.version(number))
+        table.apply(batch, number, fields, position)
 
     return (
         stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
