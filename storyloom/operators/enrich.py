@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom import lexicons as lx
 from storyloom.functions import text as tx
+from storyloom.operators.changes import article_hash, needs_work
 from storyloom.operators.ranking import pinned
+from storyloom.session import cut_lineage
 
 MAX_ENTITIES = 12
 CAPITALISED_NAME = r"\b([A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+)+)\b"
@@ -228,3 +231,47 @@ def enriched(articles: DataFrame, rules: lx.EnrichRules = lx.EnrichRules()) -> D
     return classify(articles, rules).join(slugs, "id", "left").withColumn(
         "entity_slugs", F.coalesce("entity_slugs", F.array().cast("array<string>"))
     )
+
+
+@dataclass
+class EnrichmentRun:
+    """The tables of one enrichment run, and what was counted beside them once they are written."""
+
+    analysis: DataFrame
+    entities: DataFrame
+    mentions: DataFrame
+    aliases: DataFrame
+    observed: dict[str, Observation]
+
+    def write(self, folder: str) -> dict[str, int]:
+        """Write the four tables as Parquet below the folder; returns the counters of the run.
+
+        The counters come from the jobs that write (DataFrame.observe), so nothing is read a second time for them.
+        """
+        for name in ("analysis", "entities", "mentions", "aliases"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        found = {k: v for o in self.observed.values() for k, v in o.get.items()}
+        found["skipped_count"] = found["article_count"] - found["enriched_count"]
+        return found
+
+
+def enrichment_run(articles: DataFrame, done: DataFrame, known_aliases: DataFrame, rules: lx.EnrichRules = lx.EnrichRules()) -> EnrichmentRun:
+    """Enrich the articles whose content hash is missing in `done` (id, content_hash) or differs: types, tags and phrases,
+    entities with their canonical names, mentions, and spellings that `known_aliases` does not hold yet.
+
+    The entities are extracted once and written to shared storage, as three of the tables are made from them.
+    """
+    seen = {name: Observation(name) for name in ("articles", "analysis", "entities", "mentions", "aliases")}
+    hashed = articles.withColumn("content_hash", article_hash()).observe(seen["articles"], F.count(F.lit(1)).alias("article_count"))
+    work = cut_lineage(needs_work(hashed, done, "id", ["content_hash"]))
+    entities = cut_lineage(canonicalize(extract_entities(work, rules), rules))
+    slugs = entities.groupBy("id").agg(F.array_sort(F.collect_set("slug")).alias("entity_slugs"))  # twelve entities an article at most
+    rows = classify(work, rules).join(slugs, "id", "left").withColumn("entity_slugs", F.coalesce("entity_slugs", F.array().cast("array<string>")))
+    count = lambda name: F.count(F.lit(1)).alias(name)
+    return EnrichmentRun(
+        rows.observe(seen["analysis"], count("enriched_count"), F.count_if(F.size("tag_codes") == 0).alias("untagged_count"), F.count_if("is_event_coverage").alias("event_coverage_count")),
+        entities.observe(seen["entities"], count("entity_count"), F.count_if(F.col("canonical_source") == "alias_map").alias("aliased_count")),
+        mentions(entities).observe(seen["mentions"], count("mention_row_count"), F.coalesce(F.sum("mention_count"), F.lit(0)).alias("mention_count")),
+        new_aliases(entities, known_aliases, rules).observe(seen["aliases"], count("new_alias_count")),
+        seen,
+    )

@@ -14,7 +14,7 @@ from storyloom.plans import sqltext as q
 from storyloom.plans import vocab
 from storyloom.plans.registry import Catalogue
 from storyloom.plans.text_queries import EMBEDDING_TEXT_SQL, PHRASES_SQL, TAGS_SQL, TYPES_SQL, _embedding_text
-from storyloom.session import cut_lineage
+from storyloom.session import cut_lineage, shared_folder
 from storyloom.sources import pages as pg
 from storyloom.sources import tables as tb
 
@@ -491,6 +491,47 @@ def c8(spark, folder):
     )
 
 
+RUN_SQL = f"""WITH {q.ARTICLES.replace('FROM documents', 'FROM documents WHERE doc_id % 4 <> 0')}, {es.ENTITIES}, {es.SLUGS}"""
+
+
+def _run(spark, folder):
+    """An enrichment run over articles of which every fourth is up to date; a third of the spellings is known."""
+    articles = tb.articles(spark, folder)
+    done = articles.where(F.col("id") % 4 == 0).select("id", ch.article_hash().alias("content_hash"))
+    stale = articles.where(F.col("id") % 4 == 1).select("id", F.lit("old").alias("content_hash"))
+    none = spark.createDataFrame([], "entity_type string, normalized_name string, normalized_alias string")
+    return enrich.enrichment_run(articles, done.unionByName(stale), none, vocab.ENRICH)
+
+
+@catalogue.add(
+    "c8_enrichment_run",
+    f"""{RUN_SQL}, n AS (SELECT id, count(DISTINCT (entity_type, normalized_name, slug, {es.KEY_SQL})) AS mention_rows FROM canonical GROUP BY id)
+    SELECT id, {TYPES_SQL}, array_to_string({TAGS_SQL}, ',') AS tags, array_to_string({PHRASES_SQL}, '|') AS phrases, coalesce(array_to_string(entity_slugs, ','), '') AS entity_slugs, coalesce(mention_rows, 0) AS mention_rows
+    FROM articles LEFT JOIN slugs USING (id) LEFT JOIN n USING (id)""",
+)
+def c8_run(spark, folder):
+    """The analysis rows of the run with the number of mentions that the same run made of each article."""
+    run = _run(spark, folder)
+    counted = run.mentions.groupBy("id").agg(F.count(F.lit(1)).alias("mention_rows"))
+    return run.analysis.join(counted, "id", "left").select(
+        "id", "article_type", "article_type_confidence", F.array_join("tag_codes", ",").alias("tags"), F.array_join("key_phrases", "|").alias("phrases"),
+        F.array_join("entity_slugs", ",").alias("entity_slugs"), F.coalesce("mention_rows", F.lit(0)).alias("mention_rows"))
+
+
+@catalogue.add(
+    "a19_enrichment_run_metrics",
+    f"""{RUN_SQL}, a AS (SELECT {TYPES_SQL}, {TAGS_SQL} AS codes FROM articles), x AS (SELECT (SELECT count(*) FROM documents) AS article_count, (SELECT count(*) FROM articles) AS enriched_count)
+    SELECT article_count, enriched_count, article_count - enriched_count AS skipped_count, (SELECT count(*) FROM a WHERE len(codes) = 0) AS untagged_count,
+      (SELECT count(*) FROM a WHERE article_type NOT IN ('opinion', 'editorial')) AS event_coverage_count, (SELECT count(*) FROM canonical) AS entity_count,
+      (SELECT count(*) FROM canonical WHERE canonical_source = 'alias_map') AS aliased_count FROM x""",
+)
+def a19_enrichment(spark, folder):
+    """Counters of the run, taken from the jobs that write its tables."""
+    found = _run(spark, folder).write(shared_folder(spark))
+    names = ("article_count", "enriched_count", "skipped_count", "untagged_count", "event_coverage_count", "entity_count", "aliased_count")
+    return spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 @catalogue.add(
     "src2_enriched_articles",
     f"""WITH {q.ARTICLES}, {es.ENTITIES}, {es.SLUGS} SELECT id, source, {TYPES_SQL}, array_to_string({TAGS_SQL}, ',') AS tags, array_to_string({PHRASES_SQL}, '|') AS phrases,
