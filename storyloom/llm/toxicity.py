@@ -62,8 +62,8 @@ class Parts:
                 self.grams.append(((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % GRAMS)
                 self.fits.append((self.of[ends] == self.of) & (np.arange(len(codes)) + n <= len(codes)))
         whole = np.add.reduceat(codes * (np.uint64(31) ** (np.arange(len(codes)) - self.starts[self.of]).astype(np.uint64)), self.starts) if len(words) else np.zeros(0, np.uint64)
-        mixed = ((whole ^ (whole >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
-        self.word, self.odd = mixed % WORDS, mixed % ODDS
+        self.hash = ((whole ^ (whole >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
+        self.word = self.hash % WORDS
         self.count = np.maximum(1, sum(np.add.reduceat(f.astype(np.int64), self.starts) for f in self.fits)) if len(words) else np.zeros(0)
 
     def longer(self, h: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
@@ -79,7 +79,7 @@ class Parts:
         emb = sum(p["gram"][g] * f[:, None] for g, f in zip(self.grams, self.fits))
         top = np.maximum(np.maximum.reduceat(top, self.starts), -4.0)
         mean, emb = (np.add.reduceat(x, self.starts, axis=0) for x in (mean, emb))
-        return np.c_[of_word[self.odd], top, mean / self.count, p["word"][self.word], emb / self.count[:, None]].astype(np.float32)
+        return np.c_[of_word[self.hash % len(of_word)], top, mean / self.count, p["word"][self.word], emb / self.count[:, None]].astype(np.float32)
 
 
 def windows(ids: np.ndarray) -> np.ndarray:
@@ -212,7 +212,7 @@ def log_odds(parts: Parts, sets: list[np.ndarray], labels: np.ndarray) -> tuple[
     hits = [np.zeros((2, ODDS)), np.zeros((2, GRAMS))]
     for ids, y in zip(sets, labels):
         words = np.unique(ids) - 1
-        hits[0][y, np.unique(parts.odd[words])] += 1
+        hits[0][y, np.unique(parts.hash[words] % ODDS)] += 1
         spots = np.concatenate([np.arange(first[w], first[w + 1]) for w in words]) if len(words) else np.zeros(0, np.int64)
         grams = np.concatenate([g[spots][f[spots]] for g, f in zip(parts.grams, parts.fits)]) if len(spots) else np.zeros(0, np.int64)
         hits[1][y, np.unique(grams)] += 1
