@@ -170,7 +170,7 @@ def a5(spark, folder):
 def c5(spark, folder):
     vectors = _vectors(spark, folder)
     edges = _knn(spark, folder).where("rank <= 2 AND similarity >= 0.3").select(F.col("seed").alias("src"), F.col("other").alias("dst"))
-    return gr.with_singletons(vectors, gr.connected_components(edges))
+    return gr.with_singletons(vectors, gr.connected_components(edges, alone=gr.SMALL_GRAPH))
 
 
 # --- stories -----------------------------------------------------------------------------------
