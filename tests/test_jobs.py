@@ -91,11 +91,8 @@ def test_sinks(spark, tmp_path):
 
 
 def test_density_finds_two_groups_and_an_outlier(spark):
-    from storyloom.operators import vectors as vc
-
     rows = [(i, [1.0, 0.01 * i, 0.0]) for i in range(6)] + [(10 + i, [0.0, 0.01 * i, 1.0]) for i in range(6)] + [(99, [-1.0, -1.0, -1.0])]
-    near = vc.nearest_neighbors(spark.createDataFrame(rows, "id long, embedding array<double>"), 12)
-    got = {r["id"]: r["cluster"] for r in dn.density_clusters(near, levels=8).collect()}
+    got = {r["id"]: r["cluster"] for r in dn.density_clusters(spark.createDataFrame(rows, "id long, embedding array<double>")).collect()}
     assert {got[i] for i in range(6)} == {0} and {got[10 + i] for i in range(6)} == {10} and 99 not in got
 
 
