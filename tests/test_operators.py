@@ -45,6 +45,16 @@ def test_shared_keys_hot_and_rare_paths_agree_with_brute_force(spark):
         assert got == want
 
 
+def test_growing_sides_are_not_broadcast(spark):
+    """Files of these rows are so small that Spark would send both sides through the driver."""
+    rows = spark.range(60).selectExpr("id", "id % 9 * 86400000000 AS ts", "array('a', 'b', 'c', concat('k', id % 7)) AS keys")
+    timed = nearest.near_in_time(rows.select(F.lit("").alias("grp"), "id", "ts"), 4, 7, 1)
+    for hot in (0, 10_000):
+        found = nearest.shared_key_candidates(rows, 5, 7, hot, 1)
+        for df in (timed, found):
+            assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_knn_exact_with_many_copies(spark):
     rng = random.Random(3)
     base = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(40)]
