@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 
 from storyloom.operators.graph import SMALL_GRAPH, connected_components
 from storyloom.operators.spanning import best_edges, ordered
-from storyloom.operators.vectors import SLACK, _Index, _matrix, distance, nearest_neighbors
+from storyloom.operators.vectors import SLACK, SLICE, _Index, _matrix, distance, nearest_neighbors
 from storyloom.session import cut_lineage
 
 FLOOR = 1e-6  # distances below this count as equal, so that 1 / distance stays finite
 NEAR = 15  # length of the lists that offer edges first
+VISITING = 64  # points whose visits to cells are listed at once
 BATCH_EDGES = 200_000  # edges that a fold takes at a time
 
 STATE = "node long, size long, leave double, parts double, key_w double, key_low long, points array<long>"
@@ -70,14 +71,14 @@ def _lightest_outside(index: _Index, asked: DataFrame, labels: DataFrame, extent
     live = np.flatnonzero(np.isfinite(radius))
 
     def plan(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            away = np.sqrt(np.maximum(0, 2 - 2 * (_matrix(pdf["v"]) @ pivots.value[live].T)))
-            go = away - radius[live] <= pdf["radius"].to_numpy()[:, None] + SLACK
-            go &= mixed[live] | (pure[live] != pdf["comp"].to_numpy()[:, None])
-            which, cell = np.nonzero(go)
-            yield pdf[["id", "v", "comp", "core", "radius"]].iloc[which].assign(cell=live[cell].astype("int32"))
+        for batch in batches:
+            for low in range(0, len(batch), VISITING):
+                pdf = batch.iloc[low : low + VISITING]
+                away = np.sqrt(np.maximum(0, 2 - 2 * (_matrix(pdf["v"]) @ pivots.value[live].T)))
+                go = away - radius[live] <= pdf["radius"].to_numpy()[:, None] + SLACK
+                go &= mixed[live] | (pure[live] != pdf["comp"].to_numpy()[:, None])
+                which, cell = np.nonzero(go)
+                yield pdf[["id", "v", "comp", "core", "radius"]].iloc[which].assign(cell=live[cell].astype("int32"))
 
     queries = asked.join(index.distinct.withColumnRenamed("rep", "id"), "id").select("id", "v", "comp", "core", "radius")
     visits = queries.mapInPandas(plan, "id long, v array<double>, comp long, core double, radius double, cell int")
@@ -85,10 +86,15 @@ def _lightest_outside(index: _Index, asked: DataFrame, labels: DataFrame, extent
     placed = index.data.withColumnRenamed("rep", "id").join(labels, "id")
     left, right = index.met(asked, placed.select("id", "v", "comp", "core", "cell", "block"), "id")
 
-    def lightest(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(d):
+    def lightest(queries: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(d):
             return pd.DataFrame({"comp": [], "a": [], "b": [], "weight": []})
-        away = np.sqrt(np.maximum(0, 2 - 2 * (_matrix(q["v"]) @ _matrix(d["v"]).T)))
+        v = _matrix(d["v"])
+        out = pd.concat([some(queries.iloc[low : low + SLICE].reset_index(drop=True), d, v) for low in range(0, len(queries), SLICE)])
+        return out.sort_values(["weight", "a", "b"]).drop_duplicates("comp")
+
+    def some(q: pd.DataFrame, d: pd.DataFrame, v: np.ndarray) -> pd.DataFrame:
+        away = np.sqrt(np.maximum(0, 2 - 2 * (_matrix(q["v"]) @ v.T)))
         weight = np.maximum(np.maximum(away, FLOOR), np.maximum(q["core"].to_numpy()[:, None], d["core"].to_numpy()[None, :]))
         weight[q["comp"].to_numpy()[:, None] == d["comp"].to_numpy()[None, :]] = np.inf
         # the first of equal weights by (a, b), as everywhere

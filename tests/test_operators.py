@@ -2,8 +2,11 @@
 
 import math
 import random
+import tracemalloc
 from itertools import product
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +58,40 @@ def test_growing_sides_are_not_broadcast(spark):
             assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_search_of_a_block_takes_bounded_memory():
+    rng = np.random.default_rng(4)
+    frame = lambda n: pd.DataFrame({"rep": np.arange(n), "v": list(rng.standard_normal((n, 4)))})
+    queries, data = frame(vc.QUERY_ROWS), frame(vc.BLOCK_ROWS)
+    tracemalloc.start()
+    found = vc._search(6)(queries, data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 6 * len(queries) and peak < 200e6
+    first = found[found["q"] == 5]["rep"].tolist()
+    sims = np.stack(data["v"].to_numpy()) @ queries["v"][5]
+    assert first == np.argsort(-sims, kind="stable")[:6].tolist()
+
+
+@pytest.mark.parametrize("rows", [1, 40, 333])
+def test_knn_exact_in_several_parts(spark, monkeypatch, rows):
+    """Each task holds the queries of its part only; ties go to the smaller id."""
+    monkeypatch.setattr(vc, "PART_ROWS", 50)
+    rng = np.random.default_rng(rows)
+    v = rng.integers(-2, 3, (rows, 3)) + 0.0
+    v[:, 0] += 5
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    got = {}
+    for r in vc.nearest_neighbors(df, 3).collect():
+        got.setdefault(r["seed"], {})[r["rank"]] = (r["other"], r["similarity"])
+    sims = (v @ v.T) / np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(v, axis=1))
+    for i in range(rows):
+        want = sorted((-sims[i, j], j) for j in range(rows) if j != i)[:3]
+        found = [got[i][n + 1] for n in range(len(want))] if want else []
+        assert len(got.get(i, {})) == len(want)
+        assert [s for _, s in found] == pytest.approx([-s for s, _ in want])
+        assert all(sims[i, j] == pytest.approx(s) for j, s in found)
+
+
 def test_knn_exact_with_many_copies(spark):
     rng = random.Random(3)
     base = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(40)]
