@@ -3,13 +3,14 @@
 Documents of one group are linked through the group's hub. Groups of a large part of a shard are placed first, the
 largest first, each where it fits most closely. A group is cut only if it exceeds a whole shard, into parts of a shard
 and a rest, or where no shard has room left for all of it: as much as fits goes to the emptiest shard, the rest is placed
-like a group of its own. Each part has its own hub. The hubs of all other groups are laid end to end in the order of their hashes
-and the shards take stretches of that line, so a group lies whole in one shard unless it stands across an end; these few,
-one an end at most, are placed like the large ones. Documents without links fill the room that is left. In each round
-a hub moves to the shard where most of its documents are, or on to one with room if that one is sought by too many, and
-documents want to follow it. A quota for each ordered
-pair of shards says how many may go: what goes from i to j is matched by what comes from j to i, first documents that
-want to, then documents without links, so the counts never change. It ends when no document wants to move or may.
+like a group of its own. All other documents are dealt to the room left, and rounds bring the groups together. In each
+round a hub moves to the shard where most of its documents are, or on to one with room if that one is sought by too many,
+and documents want to follow it. A quota for each ordered pair of shards says how many may go: what goes from i to j is
+matched by what comes from j to i, first documents that want to, then documents without links, so the counts never
+change. They end when no document wants to move or may. A group that is together then stays where it is. Those that are
+still apart are laid end to end in the order of their hashes and the shards take stretches of that line, as long as the
+room that the others leave; a group that stands across an end, one an end at most, is placed like the large ones.
+Documents without links fill the room that is left.
 
 Defined results: null texts have size 8 and crc32 0 and aren't linked; repeated rows are rows of their own;
 fewer documents than shards leave shards empty.
@@ -28,7 +29,7 @@ from storyloom.llm.common import numbered, stored
 
 #: Groups of at least this share of a shard are placed before the rounds; there are at most 1 / LARGE of them a shard.
 LARGE = 0.125
-#: Rounds at most; each leaves all counts as they are, so stopping is safe at any round.
+#: Rounds at most; each leaves all counts as they are, so stopping is safe at any round and what is apart then is laid whole.
 ROUNDS = 12
 
 
@@ -49,7 +50,7 @@ def quotas(wants: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return linked, fill
 
 
-def goal_of(most: DataFrame, shards: int, room: int, turn: int) -> Column:
+def goal_of(most: DataFrame, shards: int, room: np.ndarray, turn: int) -> Column:
     """The shard to which a hub goes: where most of its documents are, unless more would come there than it can hold.
 
     Hubs that are together stay. Of the others a share by hash, as large as the room left, gets the shard they want;
@@ -119,36 +120,9 @@ def matrix(counts, shards: int) -> np.ndarray:
     return out
 
 
-def assign(docs: DataFrame, shards: int, group: str, rounds: int = ROUNDS) -> DataFrame:
-    """`row`, `shard` for rows (`row` unique, `group` null or the key of linked rows)."""
-    rows = docs.select("row", F.col(group).alias("group"))
-    n = rows.count()
-    room = max(1, n // shards)
-    spark = docs.sparkSession
-    groups = stored(rows.filter("group IS NOT NULL").groupBy("group").agg(F.count("*").alias("size")).filter("size > 1"), n)
-    large = [(r["size"], r["group"]) for r in groups.filter(F.col("size") >= max(2, -(-room // round(1 / LARGE)))).collect()]
-    parts, left = packed(large, [n // shards + (k < n % shards) for k in range(shards)])
-    places = spark.createDataFrame(parts, f"group {rows.schema['group'].dataType.simpleString()}, low long, high long, shard int")
-    of_large = numbered(rows.join(F.broadcast(places.select("group").distinct()), "group", "left_semi"), ["group"], "row", "at")
-    first = of_large.join(F.broadcast(places), "group").filter("at >= low AND at < high").select("row", F.xxhash64("group", "low").alias("hub"), "shard")
-    small = groups.join(F.broadcast(places.select("group").distinct()), "group", "left_anti")
-    linked = small.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    ends = stretches(left, linked)
-    shard_of = lambda at: F.coalesce(*[F.when(at < e, F.lit(k)) for k, e in enumerate(ends)], F.lit(shards - 1))
-    line = stored(laid(small).withColumn("shard", shard_of(F.col("begin"))).withColumn("over", shard_of(F.col("begin") + F.col("size") - 1) != F.col("shard")), n)
-    for r in line.filter("NOT over").groupBy("shard").agg(F.sum("size").alias("n")).collect():
-        left[r["shard"]] -= r["n"]
-    across, left = packed([(r["size"], r["group"]) for r in line.filter("over").collect()], left)  # one an end at most
-    spots = spark.createDataFrame(across, places.schema)
-    of_across = numbered(rows.join(F.broadcast(spots.select("group").distinct()), "group", "left_semi"), ["group"], "row", "at")
-    first = first.union(of_across.join(F.broadcast(spots), "group").filter("at >= low AND at < high").select("row", F.xxhash64("group", "low").alias("hub"), "shard"))
-    first = first.union(rows.join(line.filter("NOT over").select("group", "shard"), "group").select("row", F.xxhash64("group").alias("hub"), "shard"))
-    # documents without links are numbered and dealt to the room left
-    past = np.cumsum(left)
-    dealt = F.coalesce(*[F.when(F.col("at") < int(upto), F.lit(k)) for k, upto in enumerate(past)])
-    others = rows.join(groups.select("group"), "group", "left_anti")
-    start = numbered(others, [], "row", "at").select("row", F.lit(None).cast("long").alias("hub"), dealt.cast("int").alias("shard"))
-    state = stored(start.union(first), n)
+def propagated(state: DataFrame, shards: int, room: np.ndarray, rounds: int, n: int) -> DataFrame:
+    """`row`, `hub`, `shard` after the rounds, in which hubs take the shard of most of their documents and documents follow."""
+    spark = state.sparkSession
     for turn in range(rounds):
         # ties go to the shard that the hub's hash names first, so that groups spread
         tie = F.pmod(F.xxhash64("hub", "shard"), F.lit(1_000_003))
@@ -172,7 +146,52 @@ def assign(docs: DataFrame, shards: int, group: str, rounds: int = ROUNDS) -> Da
         fillers = numbered(goals.filter("hub IS NULL"), ["shard"], "row", "at").join(F.broadcast(slots), "shard").filter("at >= low AND at < high")
         moved = going.union(fillers.select("row", slots["goal"]))
         state = stored(goals.select("row", "hub", "shard").join(moved.withColumnRenamed("goal", "to"), "row", "left").select("row", "hub", F.coalesce("to", "shard").alias("shard")), n)
-    return state.select("row", "shard")
+    return state
+
+
+def dealt(rows: DataFrame, left: list[int]) -> DataFrame:
+    """Rows with the `shard` whose room their number falls in."""
+    place = F.coalesce(*[F.when(F.col("at") < int(upto), F.lit(k)) for k, upto in enumerate(np.cumsum(left))])
+    return numbered(rows, [], "row", "at").withColumn("shard", place.cast("int")).drop("at")
+
+
+def assign(docs: DataFrame, shards: int, group: str, rounds: int = ROUNDS) -> DataFrame:
+    """`row`, `shard` for rows (`row` unique, `group` null or the key of linked rows)."""
+    rows = docs.select("row", F.col(group).alias("group"))
+    n = rows.count()
+    room = max(1, n // shards)  # of a shard
+    spark = docs.sparkSession
+    groups = stored(rows.filter("group IS NOT NULL").groupBy("group").agg(F.count("*").alias("size")).filter("size > 1"), n)
+    large = [(r["size"], r["group"]) for r in groups.filter(F.col("size") >= max(2, -(-room // round(1 / LARGE)))).collect()]
+    parts, left = packed(large, [n // shards + (k < n % shards) for k in range(shards)])
+    places = spark.createDataFrame(parts, f"group {rows.schema['group'].dataType.simpleString()}, low long, high long, shard int")
+    of_large = numbered(rows.join(F.broadcast(places.select("group").distinct()), "group", "left_semi"), ["group"], "row", "at")
+    placed = of_large.join(F.broadcast(places), "group").filter("at >= low AND at < high").select("row", "shard")
+    small = groups.join(F.broadcast(places.select("group").distinct()), "group", "left_anti")
+    # all others start where there is room, and the rounds bring groups together
+    others = rows.join(F.broadcast(places.select("group").distinct()), "group", "left_anti").join(small.select("group", F.xxhash64("group").alias("hub")), "group", "left")
+    start = stored(dealt(others.select("row", "hub", "group"), left), n)
+    state = propagated(start.select("row", "hub", "shard"), shards, np.array(left), rounds, n)
+    linked = start.filter("hub IS NOT NULL").select("row", "group").join(state.select("row", "shard"), "row")
+    settled = stored(linked.groupBy("group").agg(F.min("shard").alias("shard"), F.max("shard").alias("last"), F.count("*").alias("size")), n)
+    together = settled.filter("shard = last")
+    for r in together.groupBy("shard").agg(F.sum("size").alias("n")).collect():
+        left[r["shard"]] -= r["n"]
+    # what the rounds left cut is laid in the room that the whole groups leave
+    split = settled.filter("shard <> last").select("group", "size")
+    ends = stretches(left, split.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    shard_of = lambda at: F.coalesce(*[F.when(at < e, F.lit(k)) for k, e in enumerate(ends)], F.lit(shards - 1))
+    line = stored(laid(split).withColumn("shard", shard_of(F.col("begin"))).withColumn("over", shard_of(F.col("begin") + F.col("size") - 1) != F.col("shard")), n)
+    for r in line.filter("NOT over").groupBy("shard").agg(F.sum("size").alias("n")).collect():
+        left[r["shard"]] -= r["n"]
+    across, left = packed([(r["size"], r["group"]) for r in line.filter("over").collect()], left)  # one an end at most
+    spots = spark.createDataFrame(across, places.schema)
+    of_across = numbered(rows.join(F.broadcast(spots.select("group").distinct()), "group", "left_semi"), ["group"], "row", "at")
+    placed = placed.union(of_across.join(F.broadcast(spots), "group").filter("at >= low AND at < high").select("row", "shard"))
+    whole = together.select("group", "shard").union(line.filter("NOT over").select("group", "shard"))
+    placed = placed.union(rows.join(whole, "group").select("row", "shard"))
+    # documents without links are numbered and dealt to the room left
+    return placed.union(dealt(start.filter("hub IS NULL").select("row"), left).select("row", "shard"))
 
 
 def shard(docs: DataFrame, shards: int = 24, text: str = "text") -> DataFrame:

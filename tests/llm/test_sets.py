@@ -361,6 +361,23 @@ def test_small_groups_are_not_cut_where_there_is_room(spark, sizes, shards, cut)
     assert sum(len(s) > 1 for s in spread.values()) <= cut
 
 
+def test_rounds_decide_where_groups_lie(spark):
+    """Groups come together in the rounds, and what is together stays in that shard."""
+    shards, size = 6, 40
+    rows = spark.createDataFrame([(i, f"group {i % 80}" if i < 200 else None) for i in range(shards * size)], "row long, group string")
+    left = [size] * shards
+    start = sharding.dealt(rows.withColumn("hub", F.xxhash64("group")).withColumn("hub", F.when(F.col("group").isNotNull(), F.col("hub"))), left).select("row", "hub", "shard")
+    together = lambda state: {h: s for h, s in state.filter("hub IS NOT NULL").groupBy("hub").agg(F.min("shard"), F.max("shard")).rdd.map(tuple).filter(lambda r: r[1] == r[2]).map(lambda r: r[:2]).collect()}
+    before, state = together(start), sharding.propagated(start, shards, np.array(left), 12, shards * size)
+    after = together(state)
+    assert [r["count"] for r in state.groupBy("shard").count().collect()] == left and len(after) > 40 > 2 * len(before)
+    placed = rows.select("row", F.when(F.col("group").isNotNull(), F.xxhash64("group")).alias("hub")).join(sharding.assign(rows, shards, "group"), "row")
+    final = together(placed)
+    assert len(final) >= 75 and all(final[h] == s for h, s in after.items())
+    first = together(rows.select("row", F.xxhash64("group").alias("hub")).filter("row < 200").join(sharding.assign(rows, shards, "group", rounds=0), "row"))
+    assert sum(first.get(h) != s for h, s in final.items()) > 20
+
+
 def test_dedup_stages_keep_columns_of_any_name(spark):
     rows = [(1, "same words here and there", 7, 8, 9, "a"), (2, "same  words here and there", 7, 8, 9, "b"), (3, "other", 7, 8, 9, "c"), (3, "another", 7, 8, 9, "d"), (None, "no id", 7, 8, 9, "e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, _gone long, _sha long, `kept.row` string")
