@@ -6,8 +6,10 @@ smoothed share of the word's count, with one unknown word in each class. The cla
 products of all contexts with all targets, normalised, give a table of log-probabilities.
 
 Counts cover the whole corpus: tasks number the words of a block of text, word counts are summed over all blocks and
-come back to each block as counts and classes of its own words; no task needs the corpus' vocabulary. Parameters are
-estimated on the driver from the counts of class triples, of which there are at most CLASSES^3 at any corpus size.
+come back to each block as counts and classes of its own words; no task needs the corpus' vocabulary. The groups of
+spelling are formed over all training words, each round by partial sums of the tasks. Parameters are estimated on the
+driver from the counts of class triples, of which there are at most CLASSES^3 at any corpus size: each epoch passes over
+all of them with their counts, and noise counts by its expectation, so nothing is drawn.
 
 Defined results: null texts are empty, and an empty text is one end token. Without training texts every word is unknown.
 """
@@ -28,10 +30,10 @@ from storyloom.llm.common import Shipped, pieces, stored
 OWN, GROUPS = 95, 31
 CLASSES = OWN + GROUPS + 2
 END, BEFORE = CLASSES - 2, CLASSES - 1
-#: Frequent words from which the groups are formed, and buckets of their character pairs and triples.
-GROUPED, SPELLING = 20_000, 1024
-#: Words of context, length of a representation, noise samples, steps and examples a step.
-CONTEXT, LENGTH, NOISE, STEPS, BATCH = 2, 24, 10, 1500, 1024
+#: Buckets of the character pairs and triples of words, and rounds that form the groups from them.
+SPELLING, GROUPING = 1024, 12
+#: Words of context, length of a representation, noise words for each of the corpus, passes over all triples and their parts.
+CONTEXT, LENGTH, NOISE, EPOCHS, PARTS = 2, 24, 10, 50, 24
 #: Bytes of text in a block.
 BLOCK_BYTES = 8_000_000
 
@@ -114,18 +116,19 @@ class Speller:
             for k in range(n):
                 h[: len(codes) - k] = h[: len(codes) - k] * 257 + codes[k:]
             ends = np.minimum(np.arange(len(codes)) + n - 1, max(0, len(codes) - 1))
-            # what reaches into the next word counts in the last bucket, which weighs nothing
-            self.spots.append(np.where(of[ends] == of, (h * 0x9E3779B1 >> 7) % (SPELLING - 1), SPELLING - 1))
-
-    def dense(self) -> np.ndarray:
-        out = np.zeros((len(self.starts), SPELLING), np.float32)
-        of = np.zeros(len(self.spots[0]), np.int64)
-        of[self.starts] = 1
-        of = np.cumsum(of) - 1
-        for s in self.spots:
-            np.add.at(out, (of, s), 1)
-        out[:, -1] = 0
-        return out / np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))
+            # what reaches into the next word, or past the last one, counts in the last bucket, which weighs nothing
+            inside = (of[ends] == of) & (np.arange(len(codes)) + n <= len(codes))
+            self.spots.append(np.where(inside, (h * 0x9E3779B1 >> 7) % (SPELLING - 1), SPELLING - 1))
+
+    def sums(self, near: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Weighted sums of the words' directions (length 1) in each group."""
+        size = np.diff(np.append(self.starts, len(self.spots[0])))
+        of = np.repeat(np.arange(len(self.starts)), size)
+        code, times = np.unique(np.concatenate([of * SPELLING + s for s in self.spots]), return_counts=True)
+        inside = code % SPELLING < SPELLING - 1
+        word, spot, times = code[inside] // SPELLING, code[inside] % SPELLING, times[inside]
+        norm = np.sqrt(np.bincount(word, times.astype(float) ** 2, len(self.starts)))
+        return np.bincount(near[word] * SPELLING + spot, times * (weight / np.maximum(1e-9, norm))[word], GROUPS * SPELLING).reshape(GROUPS, SPELLING)
 
     def nearest(self, centres: np.ndarray) -> np.ndarray:
         """The centre of largest cosine; the length of the word doesn't matter for that."""
@@ -134,21 +137,56 @@ class Speller:
         return score.argmax(1)
 
 
+def directions(sums: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Sums at length 1; what nothing was summed for stays."""
+    norm = np.linalg.norm(sums, axis=1, keepdims=True)
+    return np.where(norm > 0, sums / np.maximum(norm, 1e-9), before)
+
+
+def grouped(counts: DataFrame, own: list[bytes]) -> np.ndarray:
+    """Centres of the groups of spelling, from all words with a count that aren't classes of their own.
+
+    They start from GROUPS words that the hash deals from all, with chances by the root of their counts. In each round the
+    tasks sum the directions of all words by their nearest centre.
+    """
+    spark = counts.sparkSession
+    known = spark.createDataFrame([(w,) for w in own], "word binary")
+    rest = stored(counts.filter("c > 0").join(F.broadcast(known), "word", "left_anti"))  # OWN rows at most
+    chance = (F.pmod(F.xxhash64("word", F.lit(5)), F.lit(1 << 30)) + 1) / float(1 << 30)
+    first = [bytes(r.word) for r in rest.orderBy(-F.log(chance) / F.sqrt("c"), "word").limit(GROUPS).collect()]
+    centres = np.zeros((GROUPS, SPELLING))
+    if not first:
+        return centres
+    speller = Speller(first)
+    centres[: len(first)] = directions(speller.sums(np.arange(len(first)), np.ones(len(first))), centres)[: len(first)]
+    for _ in range(GROUPING):
+        shared = Shipped(spark, centres)
+
+        def partial(batches):
+            total = np.zeros((GROUPS, SPELLING))
+            for batch in batches:
+                words = batch.column("word").to_pylist()
+                if words:
+                    speller = Speller(words)
+                    total += speller.sums(speller.nearest(shared.value), np.sqrt(batch.column("c").to_numpy()))
+            cell = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total.ravel()[cell])], names=["cell", "value"])
+
+        found = rest.select("word", "c").mapInArrow(partial, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+        sums = np.zeros(GROUPS * SPELLING)
+        sums[found.column("cell").to_numpy()] = found.column("value").to_numpy()
+        after = directions(sums.reshape(GROUPS, SPELLING), centres)
+        still = np.allclose(after, centres, atol=1e-9)
+        centres = after
+        if still:
+            break
+    return centres
+
+
 class Classes:
-    def __init__(self, frequent: list[tuple[bytes, int]], rounds: int = 12):
-        """frequent: words by falling count. The first are their own classes; the rest forms the groups."""
-        self.own = {w: i for i, (w, _) in enumerate(frequent[:OWN])}
-        rest = frequent[OWN:]
-        self.centres = np.zeros((GROUPS, SPELLING), np.float32)
-        if not rest:
-            return
-        x, weight = Speller([w for w, _ in rest]).dense(), np.sqrt([c for _, c in rest])
-        self.centres = x[np.random.default_rng(5).choice(len(x), GROUPS, replace=len(x) < GROUPS, p=weight / weight.sum())].copy()
-        for _ in range(rounds):
-            near = (x @ self.centres.T).argmax(1)
-            sums = np.where(near == np.arange(GROUPS)[:, None], weight, 0).astype(np.float32) @ x
-            some = np.bincount(near, minlength=GROUPS) > 0
-            self.centres[some] = sums[some] / np.linalg.norm(sums[some], axis=1, keepdims=True)
+    def __init__(self, own: list[bytes], centres: np.ndarray):
+        """own: the frequentest words, which are their own classes; all others belong to the nearest centre."""
+        self.own, self.centres = {w: i for i, w in enumerate(own)}, centres
 
     def of(self, words: list[bytes]) -> np.ndarray:
         if not words:
@@ -182,39 +220,43 @@ class LogBilinear:
         return out
 
     def fit(self, codes: np.ndarray, times: np.ndarray, seed: int = 12) -> None:
-        """Noise-contrastive estimation: tell targets of the corpus from NOISE draws of their overall shares.
+        """Noise-contrastive estimation: tell targets of the corpus from NOISE words each of their overall shares.
 
-        codes: (context, target) triples, drawn in proportion to their counts.
+        codes: all (context, target) triples, times: their counts. Contexts are dealt to PARTS parts, and a step takes all
+        triples of a part with their counts and the expectation over all noise words, so an epoch passes over the whole table.
         """
         if not len(codes):
             return
-        rng, p = np.random.default_rng(seed), self.p
+        p = self.p
         share = np.bincount(codes % CLASSES, times, CLASSES) + 1e-3 * times.sum() / CLASSES
         share[BEFORE] = 0
         share /= share.sum()
         log_noise = np.log(NOISE * np.maximum(share, 1e-12))
         p["bias"] = np.log(np.maximum(share, 1e-12))
-        upto, noise_upto = np.cumsum(times) / times.sum(), np.cumsum(share)
+        past, row = np.unique(codes // CLASSES, return_inverse=True)
+        context = np.stack([past // CLASSES ** (CONTEXT - 1 - i) % CLASSES for i in range(CONTEXT)], 1)
+        part = np.random.default_rng(seed).permutation(len(past)) % PARTS
+        cells = []
+        for i in range(min(PARTS, len(past))):
+            at = np.flatnonzero(part == i)
+            inside = np.flatnonzero(part[row] == i)
+            cells.append((context[at], np.searchsorted(at, row[inside]), codes[inside] % CLASSES, times[inside]))
+        scale = len(cells) / times.sum()
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-        for step in range(1, STEPS + 1):
-            picked = codes[np.minimum(np.searchsorted(upto, rng.random(BATCH)), len(codes) - 1)]
-            noise = np.minimum(np.searchsorted(noise_upto, rng.random((BATCH, NOISE))), CLASSES - 1)
-            target = np.c_[picked % CLASSES, noise]
-            past = picked // CLASSES
-            context = np.stack([past // CLASSES ** (CONTEXT - 1 - i) % CLASSES for i in range(CONTEXT)], 1)
-            guess, aims = self.predict(context), p["target"][target]
-            score = np.einsum("bl,bkl->bk", guess, aims) + p["bias"][target]
-            d = 1 / (1 + np.exp(-np.clip(score - log_noise[target], -30, 30)))
-            d[:, 0] -= 1
-            d /= BATCH
-            g = {k: np.zeros_like(v) for k, v in p.items()}
-            np.add.at(g["bias"], target, d)
-            np.add.at(g["target"], target.reshape(-1), (d[:, :, None] * guess[:, None]).reshape(-1, LENGTH))
-            dguess = np.einsum("bk,bkl->bl", d, aims)
+        steps = EPOCHS * len(cells)
+        for step in range(1, steps + 1):
+            context, at, target, n = cells[step % len(cells)]
+            guess = self.predict(context)
+            chance = 1 / (1 + np.exp(-np.clip(guess @ p["target"].T + p["bias"] - log_noise, -30, 30)))
+            d = chance * (np.bincount(at, n, len(context))[:, None] * (NOISE * share))
+            d[at, target] -= n * (1 - chance[at, target])
+            d *= scale
+            g = {"bias": d.sum(0), "target": d.T @ guess, "seen": np.zeros_like(p["seen"]), "place": np.zeros_like(p["place"])}
+            dguess = d @ p["target"]
             for i in range(CONTEXT):
                 g["place"][i] = p["seen"][context[:, i]].T @ dguess
                 np.add.at(g["seen"], context[:, i], dguess @ p["place"][i].T)
-            rate = 0.02 * (1 - step / (STEPS + 1)) + 0.0005
+            rate = 0.02 * (1 - step / (steps + 1)) + 0.0005
             for k, grad in g.items():
                 m, v = moments[k]
                 m += 0.1 * (grad - m)
@@ -242,8 +284,8 @@ def score(docs: DataFrame, held_out: Column, keep: list[str], text: str = "text"
     ends = texts.filter("NOT held_out").count()
     total = counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n, v = (total.n or 0) + ends, total.v + (ends > 0)
-    frequent = [(bytes(r.word), r.c) for r in counts.filter("c > 0").orderBy(F.desc("c"), "word").limit(OWN + GROUPED).collect()]
-    classes = Shipped(docs.sparkSession, Classes(frequent))
+    own = [bytes(r.word) for r in counts.filter("c > 0").orderBy(F.desc("c"), "word").limit(OWN).collect()]
+    classes = Shipped(docs.sparkSession, Classes(own, grouped(counts, own)))
 
     def classify(batches):
         for batch in batches:

@@ -298,6 +298,35 @@ def test_log_bilinear_learns_and_is_normalised():
     assert lm.contexts(np.array([1, 2, 3]), np.array([2, 1])).tolist() == [lm.BEFORE * lm.CLASSES + lm.BEFORE, lm.BEFORE * lm.CLASSES + 1, lm.BEFORE * lm.CLASSES + lm.BEFORE]
 
 
+def test_rare_triples_count():
+    """A context that makes up three in ten million moves the model, as every epoch passes over all triples; a draw of 1.5 million missed it."""
+    common = [(1 * lm.CLASSES + 2) * lm.CLASSES + t for t in range(10)]
+    rare = (100 * lm.CLASSES + 100) * lm.CLASSES + 101
+    model = lm.LogBilinear()
+    model.fit(np.array([*common, rare]), np.array([1e6] * 10 + [3.0]))
+    table = 10.0 ** model.table().astype(float)
+    assert table[100 * lm.CLASSES + 100, 101] > 100 * 3 / 1e7
+    assert np.allclose(table[1 * lm.CLASSES + 2, :10], 0.1, atol=0.02)
+
+
+def test_groups_of_spelling_take_all_words(spark):
+    """Centres are the directions of the sums over all words that are nearest to them, in any number of tasks."""
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice(a) for _ in range(rng.randint(2, 9))).encode() for a in ("abcd", "efgh", "ijkl") * 40 for _ in range(10)})
+    own, counts = words[:3], [1 + i % 5 for i in range(len(words))]
+    frame_of = spark.createDataFrame([(bytearray(w), c) for w, c in zip(words, counts)] + [(bytearray(b"unseen"), 0)], "word binary, c long")
+    one, many = lm.grouped(frame_of.coalesce(1), own), lm.grouped(frame_of.repartition(5), own)
+    assert np.allclose(one, many, atol=1e-6) and np.allclose(np.linalg.norm(one, axis=1), 1)
+    rest = words[3:]
+    by_hand = np.zeros((lm.GROUPS, lm.SPELLING))
+    speller = lm.Speller(rest)
+    near = speller.nearest(one)
+    for w, c, g in zip(rest, counts[3:], near):
+        by_hand[g] += lm.Speller([w]).sums(np.array([0]), np.array([np.sqrt(c)]))[0]
+    assert np.allclose(speller.sums(near, np.sqrt(counts[3:])), by_hand)
+    assert (np.sum(lm.directions(by_hand, one) * one, axis=1) > 0.9).all()
+
+
 def test_language_model_edges(spark):
     assert lm.score(frame(spark, []), F.lit(False), ["doc_id"]).count() == 0
     rows = lm.score(frame(spark, [(1, "a b"), (2, None)]), F.lit(True), ["doc_id", "key", "row", "kept"]).collect()
