@@ -62,6 +62,8 @@ STRENGTHS = {
 BALANCE_KEYS = ("neutral_reporting", "informational_balance")
 EMPTY_FRAMING_KEYS = ("", "main_narrative", "key_framing_elements", "balance", "sources_represented", "device_1",
                       "device_2", "device_3")
+FIELDS = (*TEXT_LIMITS, "article_type_confidence", "bias_confidence", "confidence", *TEXT_KEYS, "ideological_bias_framing", "bias_score",
+          "tone_dimensions", "framing_devices", "evidence_spans")
 _NO_TEXTS = "array<string>"
 
 
@@ -75,6 +77,11 @@ def child(value: Column, key: str) -> Column:
     return F.try_variant_get(value, f"$.{key}", "variant")
 
 
+def field(name: str) -> Column:
+    """A field of the answer, once it is opened."""
+    return F.col(f"field_{name}")
+
+
 def kind(value: Column) -> Column:
     """STRING, OBJECT, ARRAY, BOOLEAN, NUMBER, or null for a missing or null value."""
     name = F.regexp_extract(F.schema_of_variant(value), "^([A-Z]+)", 1)
@@ -349,20 +356,20 @@ def strict_status(final: Column, scope: Column) -> Column:
     return F.when(scope == "out_of_domain", "out_of_domain").when(final != "unclear", "resolved").otherwise("weak_signal_abstain")
 
 
-def _raw_error(v: Column) -> Column:
-    """Contract of the raw answer: shapes and lengths a field may have."""
-    problems = [F.when(kind(v).isNull() | (kind(v) != "OBJECT"), "answer is not a JSON object")]
+def _raw_error(whole: Column) -> Column:
+    """Contract of the raw answer, a value of kind `whole`: shapes and lengths its opened fields may have."""
+    problems = [F.when(whole.isNull() | (whole != "OBJECT"), "answer is not a JSON object")]
     for name, limit in TEXT_LIMITS.items():
-        value = child(v, name)
+        value = field(name)
         bad = kind(value).isNotNull() & ((kind(value) != "STRING") | (F.length(as_text(value)) > limit))
         problems.append(F.when(bad, f"raw payload validation failed: {name}"))
     for name in ("article_type_confidence", "bias_confidence", "confidence"):
-        value = child(v, name)
+        value = field(name)
         number = F.try_variant_get(value, "$", "double")
         bad = (kind(value) == "ARRAY") | ((kind(value) == "NUMBER") & ~number.between(0, 1)) | (F.length(as_text(value)) > 40)
         problems.append(F.when(bad, f"raw payload validation failed: {name}"))
     for name, limit in (("rationale", 1200), ("notes", 500), ("uncertainty_reason", 500)):
-        value = child(v, name)
+        value = field(name)
         bad = kind(value).isin("ARRAY", "NUMBER", "BOOLEAN") | (F.length(as_text(value)) > limit)
         problems.append(F.when(bad, f"raw payload validation failed: {name}"))
     return F.coalesce(*problems)
@@ -371,18 +378,18 @@ def _raw_error(v: Column) -> Column:
 def normalize(rows: DataFrame, key: str, raw: str) -> DataFrame:
     """Canonical fields, statuses, applicability and `error` per raw answer; nothing shuffles."""
     parsed = pinned(rows.select(key, F.try_parse_json(ms.json_block(F.col(raw))).alias("v")))
-    v = F.col("v")
-    bias = child(v, "ideological_bias_framing")
-    score = child(v, "bias_score")
+    # a child is a copy of its part of the answer, so each field is cut out once and not wherever it is named
+    opened = pinned(parsed.select(key, kind(F.col("v")).alias("whole"), *[child(F.col("v"), n).alias(f"field_{n}") for n in FIELDS]))
+    bias, score = field("ideological_bias_framing"), field("bias_score")
     score_text = tx.strip(as_text(score))
     score_value = F.when(kind(score) == "NUMBER", F.try_variant_get(score, "$", "double")).otherwise(score_text.try_cast("double"))
-    read = pinned(parsed.select(
+    read = pinned(opened.select(
         key,
-        _raw_error(v).alias("raw_error"),
-        *[filled(as_text(child(v, n))).alias(f"raw_{n}") for n in TEXT_LIMITS],
-        *[confidence(child(v, n), n).alias(n) for n in ("article_type_confidence", "bias_confidence", "confidence")],
+        _raw_error(F.col("whole")).alias("raw_error"),
+        *[filled(as_text(field(n))).alias(f"raw_{n}") for n in TEXT_LIMITS],
+        *[confidence(field(n), n).alias(n) for n in ("article_type_confidence", "bias_confidence", "confidence")],
         confidence(F.when(kind(bias) == "OBJECT", child(bias, "confidence")), "ideological_bias_framing.confidence").alias("nested"),
-        *[text_like(child(v, n), n).alias(n) for n in TEXT_KEYS],
+        *[text_like(field(n), n).alias(n) for n in TEXT_KEYS],
         score_value.alias("score"),
         F.when(kind(score).isNotNull() & score_value.isNull(), F.array(F.lit("bias_score"))).otherwise(F.array().cast(_NO_TEXTS)).alias("score_lost"),
         F.when(kind(bias) == "STRING", filled(as_text(bias))).otherwise(
@@ -391,9 +398,9 @@ def normalize(rows: DataFrame, key: str, raw: str) -> DataFrame:
         F.when(kind(bias) == "STRING", F.array_compact(F.array(filled(as_text(bias))))).otherwise(
             F.array_compact(F.array(*[F.concat(F.lit(f"{k}="), filled(as_text(child(bias, k)))) for k in BIAS_HINT_KEYS]))
         ).alias("bias_hints"),
-        tone_choices(child(v, "tone_dimensions")).alias("tones"),
-        framing_items(child(v, "framing_devices")).alias("framing_all"),
-        evidence_items(child(v, "evidence_spans")).alias("evidence_all"),
+        tone_choices(field("tone_dimensions")).alias("tones"),
+        framing_items(field("framing_devices")).alias("framing_all"),
+        evidence_items(field("evidence_spans")).alias("evidence_all"),
     ))
     return _finish(_resolve(read, key), key)
 

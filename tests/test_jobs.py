@@ -38,6 +38,18 @@ def test_answers_of_many_shapes(spark):
     assert got[5]["editorial_applicability_reason"] == "sports_recap" and got[5]["bias_status"] == "out_of_domain"
 
 
+def test_answers_are_cut_into_fields_once(spark):
+    """Each top-level field is read from the whole answer by one expression."""
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        rows = raw.normalize(spark.createDataFrame([(1, "{}")], "id int, answer string"), "id", "answer")
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    assert plan.count("$.evidence_spans") == 1 and plan.count("$.article_type_confidence") == 1
+
+
 def test_contract_rules(spark):
     row = spark.createDataFrame(
         [("opinion", 0.8, "left", 0.3, 0.5, "calm", "hostile", "straight_reporting", "low", "assertive")],
