@@ -32,6 +32,8 @@ CLASSES = OWN + GROUPS + 2
 END, BEFORE = CLASSES - 2, CLASSES - 1
 #: Buckets of the character pairs and triples of words, and rounds that form the groups from them.
 SPELLING, GROUPING = 1024, 12
+#: Length up to which words of one length are looked at together.
+PLACES = 48
 #: Words of context, length of a representation, noise words for each of the corpus, passes over all triples and their parts.
 CONTEXT, LENGTH, NOISE, EPOCHS, PARTS = 2, 24, 10, 50, 24
 #: Bytes of text in a block.
@@ -107,34 +109,50 @@ class Speller:
     def __init__(self, words: list[bytes]):
         framed = [b"<" + w + b">" for w in words]
         codes = np.frombuffer(b"".join(framed), np.uint8).astype(np.int64)
-        size = np.array([len(f) for f in framed], np.int64)
-        self.starts = np.r_[0, np.cumsum(size)[:-1]] if len(words) else np.zeros(0, np.int64)
-        of = np.repeat(np.arange(len(words)), size)
+        self.size = np.array([len(f) for f in framed], np.int64)
+        self.starts = np.r_[0, np.cumsum(self.size)[:-1]] if len(words) else np.zeros(0, np.int64)
+        left = np.repeat(np.cumsum(self.size), self.size) - np.arange(len(codes))  # characters from here to the end of the word
         self.spots = []
+        h = codes
         for n in (2, 3):
-            h = np.zeros(len(codes), np.int64)
-            for k in range(n):
-                h[: len(codes) - k] = h[: len(codes) - k] * 257 + codes[k:]
-            ends = np.minimum(np.arange(len(codes)) + n - 1, max(0, len(codes) - 1))
+            h = h * 257
+            h[: len(h) - n + 1] += codes[n - 1 :]
             # what reaches into the next word, or past the last one, counts in the last bucket, which weighs nothing
-            inside = (of[ends] == of) & (np.arange(len(codes)) + n <= len(codes))
-            self.spots.append(np.where(inside, (h * 0x9E3779B1 >> 7) % (SPELLING - 1), SPELLING - 1))
+            self.spots.append(np.where(left >= n, (h * 0x9E3779B1 >> 7) % (SPELLING - 1), SPELLING - 1))
 
-    def sums(self, near: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Weighted sums of the words' directions (length 1) in each group."""
-        size = np.diff(np.append(self.starts, len(self.spots[0])))
-        of = np.repeat(np.arange(len(self.starts)), size)
+    def squares(self) -> np.ndarray:
+        """Squared lengths of the words' counts of pairs and triples."""
+        of = np.repeat(np.arange(len(self.starts)), self.size)
         code, times = np.unique(np.concatenate([of * SPELLING + s for s in self.spots]), return_counts=True)
-        inside = code % SPELLING < SPELLING - 1
-        word, spot, times = code[inside] // SPELLING, code[inside] % SPELLING, times[inside]
-        norm = np.sqrt(np.bincount(word, times.astype(float) ** 2, len(self.starts)))
-        return np.bincount(near[word] * SPELLING + spot, times * (weight / np.maximum(1e-9, norm))[word], GROUPS * SPELLING).reshape(GROUPS, SPELLING)
+        times[code % SPELLING == SPELLING - 1] = 0
+        return np.bincount(code // SPELLING, times.astype(float) ** 2, len(self.starts)).astype(np.int64)
+
+    def sums(self, near: np.ndarray, weight: np.ndarray, squares: np.ndarray | None = None) -> np.ndarray:
+        """Weighted sums of the words' directions (length 1) in each group. squares: squares(), if known."""
+        norm = np.sqrt(self.squares() if squares is None else squares)
+        row = np.repeat(near * SPELLING, self.size)
+        each = np.repeat(weight / np.maximum(1e-9, norm), self.size)
+        total = sum(np.bincount(row + s, each, GROUPS * SPELLING) for s in self.spots).reshape(GROUPS, SPELLING)
+        total[:, SPELLING - 1] = 0
+        return total
 
     def nearest(self, centres: np.ndarray) -> np.ndarray:
         """The centre of largest cosine; the length of the word doesn't matter for that."""
         by_spot = np.ascontiguousarray(centres.T)
-        score = sum(np.add.reduceat(by_spot[s], self.starts, axis=0) for s in self.spots)
-        return score.argmax(1)
+        out = np.zeros(len(self.starts), np.int64)
+        # words of one length are summed place by place, all at once; each long word by itself
+        for size in np.unique(self.size[self.size <= PLACES]).tolist():
+            at = np.flatnonzero(self.size == size)
+            score = np.zeros((len(at), len(centres)))
+            for place in range(size - 1):  # the last place begins no pair
+                for n, spots in zip((2, 3), self.spots):
+                    if place <= size - n:
+                        score += by_spot[spots[self.starts[at] + place]]
+            out[at] = score.argmax(1)
+        for i in np.flatnonzero(self.size > PLACES).tolist():
+            inside = slice(self.starts[i], self.starts[i] + self.size[i])
+            out[i] = sum(np.bincount(s[inside], minlength=SPELLING) @ by_spot for s in self.spots).argmax()
+        return out
 
 
 def directions(sums: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -151,7 +169,13 @@ def grouped(counts: DataFrame, own: list[bytes]) -> np.ndarray:
     """
     spark = counts.sparkSession
     known = spark.createDataFrame([(w,) for w in own], "word binary")
-    rest = stored(counts.filter("c > 0").join(F.broadcast(known), "word", "left_anti"))  # OWN rows at most
+
+    def measured(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(Speller(batch.column("word").to_pylist()).squares())], names=["word", "c", "squares"])
+
+    others = counts.filter("c > 0").join(F.broadcast(known), "word", "left_anti").select("word", "c")  # OWN rows at most
+    rest = stored(others.mapInArrow(measured, "word binary, c long, squares long"))
     chance = (F.pmod(F.xxhash64("word", F.lit(5)), F.lit(1 << 30)) + 1) / float(1 << 30)
     first = [bytes(r.word) for r in rest.orderBy(-F.log(chance) / F.sqrt("c"), "word").limit(GROUPS).collect()]
     centres = np.zeros((GROUPS, SPELLING))
@@ -163,16 +187,16 @@ def grouped(counts: DataFrame, own: list[bytes]) -> np.ndarray:
         shared = Shipped(spark, centres)
 
         def partial(batches):
-            total = np.zeros((GROUPS, SPELLING))
+            centres, total = shared.value, np.zeros((GROUPS, SPELLING))
             for batch in batches:
                 words = batch.column("word").to_pylist()
                 if words:
                     speller = Speller(words)
-                    total += speller.sums(speller.nearest(shared.value), np.sqrt(batch.column("c").to_numpy()))
+                    total += speller.sums(speller.nearest(centres), np.sqrt(batch.column("c").to_numpy()), batch.column("squares").to_numpy())
             cell = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total.ravel()[cell])], names=["cell", "value"])
 
-        found = rest.select("word", "c").mapInArrow(partial, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+        found = rest.mapInArrow(partial, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
         sums = np.zeros(GROUPS * SPELLING)
         sums[found.column("cell").to_numpy()] = found.column("value").to_numpy()
         after = directions(sums.reshape(GROUPS, SPELLING), centres)

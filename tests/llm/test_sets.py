@@ -327,6 +327,22 @@ def test_groups_of_spelling_take_all_words(spark):
     assert (np.sum(lm.directions(by_hand, one) * one, axis=1) > 0.9).all()
 
 
+def test_spelling_of_long_words():
+    """Words of any length meet the centres and the sums as their own counts of pairs and triples say."""
+    words = [b"", b"a", b"ab", b"abab" * 30, b"x" * (lm.PLACES - 2), b"x" * (lm.PLACES - 1), b"nearly the same", b"nearly the sane"]
+    speller, rng = lm.Speller(words), np.random.default_rng(3)
+    centres = lm.directions(np.abs(rng.standard_normal((lm.GROUPS, lm.SPELLING))) * (np.arange(lm.SPELLING) < lm.SPELLING - 1), np.zeros((lm.GROUPS, lm.SPELLING)))
+    cut = np.cumsum([len(w) + 2 for w in words])
+    rows = np.stack([sum(np.bincount(part, minlength=lm.SPELLING) for part in parts) for parts in zip(*[np.split(s, cut[:-1]) for s in speller.spots])])[:, :-1]
+    assert speller.squares().tolist() == (rows**2).sum(1).tolist()
+    near = speller.nearest(centres)
+    assert near.tolist() == (rows @ centres[:, :-1].T).argmax(1).tolist()
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    want = np.zeros((lm.GROUPS, lm.SPELLING))
+    np.add.at(want[:, :-1], near, unit)
+    assert np.allclose(speller.sums(near, np.ones(len(words)), speller.squares()), want)
+
+
 def test_language_model_edges(spark):
     assert lm.score(frame(spark, []), F.lit(False), ["doc_id"]).count() == 0
     rows = lm.score(frame(spark, [(1, "a b"), (2, None)]), F.lit(True), ["doc_id", "key", "row", "kept"]).collect()
