@@ -14,32 +14,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from storyloom.session import bounded_batches
 from storyloom.session import cut_lineage as stored  # noqa: F401  the operators take it from here
 
 #: UTF-8 bytes of text that a task works on at a time; a longer text is a piece of its own.
 PIECE_BYTES = 2_000_000
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of at most `limit` bytes of text each (or one row)."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+def stretches(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, number) of rows that hold at most `limit` bytes of text each (or one row)."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start = total = 0
     for i, size in enumerate(sizes):
         if i > start and total + size > limit:
-            yield batch.slice(start, i - start)
+            yield start, i - start
             start, total = i, 0
         total += size
     if start < len(sizes):
-        yield batch.slice(start)
+        yield start, len(sizes) - start
+
+
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most `limit` bytes of text each (or one row)."""
+    for start, n in stretches(batch.column(column), limit):
+        yield batch.slice(start, n)
 
 
 def map_texts(df: DataFrame, text: str, keep: list[str], make: Callable, fields: str) -> DataFrame:
     """Whole texts through make()(list of str or None) -> Arrow arrays, one value a row.
 
-    The columns in `keep` travel in the struct `kept`, so that their names can't clash with the results.
+    The columns in `keep` travel in the struct `kept`, so that their names can't clash with the results. A text that is
+    kept travels once, and batches are bounded in bytes, so that a worker holds few texts at a time.
     """
+    bounded_batches(df.sparkSession)
     added = T._parse_datatype_string(fields)
-    source = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text}`").cast("string").alias("text"))
+    inside = keep.index(text) if text in keep and df.schema[text].dataType == T.StringType() else None
+    apart = [] if inside is not None else [F.col(f"`{text}`").cast("string").alias("text")]
+    source = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), *apart)
     schema = T.StructType([source.schema["kept"], *added.fields])
     names = schema.names
 
@@ -47,8 +58,10 @@ def map_texts(df: DataFrame, text: str, keep: list[str], make: Callable, fields:
         gc.collect()  # workers are reused: what an earlier task left in cycles goes before this one starts
         work = make()
         for batch in batches:
-            for piece in pieces(batch):
-                yield pa.RecordBatch.from_arrays([piece.column("kept"), *work(piece.column("text").to_pylist())], names=names)
+            kept = batch.column("kept")
+            texts = batch.column("text") if inside is None else pc.struct_field(kept, [inside])
+            for start, n in stretches(texts):
+                yield pa.RecordBatch.from_arrays([kept.slice(start, n), *work(texts.slice(start, n).to_pylist())], names=names)
 
     return source.mapInArrow(run, schema)
 

@@ -124,8 +124,11 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
     sc = docs.sparkSession.sparkContext
     fields = "n_words long, spans array<struct<first:int, past:int>>, items array<string>"
     kind = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text}`").alias("text"))
-    found = None
+    # columns are numbered, so that no name clashes; the text travels once, whether it is kept or not
+    given = [*keep, *([] if text in keep else [text])]
+    names = [f"given_{i}" for i in range(len(given))]
+    source = out = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(given, names)])
+    read = names[given.index(text)]
     for items in item_groups(benchmark, table_bytes):
         shared = sc.broadcast(items)
 
@@ -138,15 +141,16 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
 
             return work
 
-        mapped = map_texts(out, "text", out.columns, make, fields)
-        own = [F.col("kept.kept"), F.col("kept.text"), "n_words"]
-        if found is None:
-            out = mapped.select(*own, "spans", "items")
+        mapped = map_texts(out, read, out.columns, make, fields)
+        own = [F.col(f"kept.{n}") for n in names]
+        if out is source:
+            out = mapped.select(*own, "n_words", "spans", "items")
         else:
-            out = mapped.select(*own, F.concat("kept.spans", "spans").alias("spans"), F.array_sort(F.array_union("kept.items", "items")).alias("items"))
-        found = out
+            out = mapped.select(*own, "n_words", F.concat("kept.spans", "spans").alias("spans"), F.array_sort(F.array_union("kept.items", "items")).alias("items"))
+    kept = F.struct(*[F.col(n).alias(c) for c, n in zip(keep, names)]).alias("kept")
+    found = out.select(kept, "n_words", "spans", "items")
     hit = hit_words(F.col("spans"))
-    return found.drop("text").withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

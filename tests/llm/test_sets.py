@@ -6,13 +6,15 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from oracle import compare
-from storyloom.llm import bpe, exact, langid, licence, lm, near, queries, sharding
+from storyloom.llm import bpe, decontam, exact, langid, licence, lm, near, queries, sharding
 from storyloom.llm.common import crc_rest
+from storyloom.session import BATCH_BYTES
 
 NAMED = "doc_id long, text string, key string, row long, kept string"
 
@@ -423,6 +425,23 @@ def test_rounds_decide_where_groups_lie(spark):
     assert sum(first.get(h) != s for h, s in final.items()) > 20
 
 
+def test_workers_get_batches_of_bounded_bytes(spark):
+    """400 texts of 100,000 characters come in batches of BATCH_BYTES, not as one of 40 MB; a kept text comes once."""
+    docs = spark.range(400, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.substring(F.col("id").cast("string"), 1, 1), F.lit(100_000)).alias("text"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    found = decontam.find(docs, spark.createDataFrame([("i", "no such words")], "item_id string, text string"), docs.columns)
+    assert found.count() == 400 and {len(r.kept.text) for r in found.collect()} == {100_000}
+    moved = found._jdf.queryExecution().optimizedPlan().toString()
+    assert moved.count("repeat(") == 1
+
+    def weigh(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    sizes = [r["size"] for r in docs.mapInArrow(weigh, "size long").collect()]
+    assert sum(sizes) >= 40_000_000 and max(sizes) <= 1.1 * BATCH_BYTES
+
+
 def test_dedup_stages_keep_columns_of_any_name(spark):
     rows = [(1, "same words here and there", 7, 8, 9, "a"), (2, "same  words here and there", 7, 8, 9, "b"), (3, "other", 7, 8, 9, "c"), (3, "another", 7, 8, 9, "d"), (None, "no id", 7, 8, 9, "e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, _gone long, _sha long, `kept.row` string")
