@@ -106,8 +106,8 @@ def component_sweep(articles: DataFrame, pairs: DataFrame, gold: DataFrame, thre
     node = lambda c: F.concat_ws("|", "threshold", c)  # noqa: E731  one graph holds the levels side by side
     parts = connected_components(cut.select(node("a").alias("src"), node("b").alias("dst")), alone=SMALL_GRAPH)
     everyone = articles.select("id", F.explode(levels).alias("threshold")).withColumn("node", node("id"))
-    placed = everyone.join(parts.select(F.col("id").alias("node"), "component"), "node", "left").select("threshold", "id", F.coalesce("component", "node").alias("cluster"))
-    placed = cut_lineage(placed.join(gold.select("id", F.col("cluster").alias("gold")), "id", "left"))
+    placed = everyone.join(parts.select(F.col("id").alias("node"), "component").hint("merge"), "node", "left").select("threshold", "id", F.coalesce("component", "node").alias("cluster"))
+    placed = cut_lineage(placed.join(gold.select("id", F.col("cluster").alias("gold")).hint("merge"), "id", "left"))
     pairs_of = lambda n: F.coalesce(F.sum((n * (n - 1) / 2).cast("long")), F.lit(0)).cast("long")
     n = F.col("n")
     sized = placed.groupBy("threshold", "cluster").agg(F.count(F.lit(1)).alias("n"), F.count("gold").alias("m"))

@@ -14,6 +14,13 @@ from storyloom.session import cut_lineage
 
 #: Edges that one task may close: the size is counted before, the result is the same.
 SMALL_GRAPH = 500_000
+#: Rows up to which Spark may broadcast a side of these joins; ids are so compressible that it would send far more.
+BROADCAST_ROWS = 100_000
+
+
+def joinable(side: DataFrame, rows: int) -> DataFrame:
+    """A side of a join that has about so many rows; large ones are marked for sort-merge, so that none goes through the driver."""
+    return side.hint("merge") if rows > BROADCAST_ROWS else side
 
 
 def smallest_reachable(pairs) -> dict:
@@ -69,7 +76,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", a
         moving = not last
         while moving:
             onward = point.select(F.col("id").alias("to"), F.col("to").alias("next"))
-            jumped = cut_lineage(point.join(onward, "to").select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), 2 * n)
+            jumped = cut_lineage(point.join(joinable(onward, n), "to").select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), 2 * n)
             moving = not jumped.where("moved").isEmpty()
             point = jumped.select("id", "to")
         if labels is None:
@@ -77,10 +84,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", a
         else:
             # the nodes of a later round are the components of the rounds before
             onward = point.select(F.col("id").alias("component"), "to")
-            labels = cut_lineage(labels.join(onward, "component", "left").select("id", F.coalesce("to", "component").alias("component")), known)
+            labels = cut_lineage(labels.join(joinable(onward, n), "component", "left").select("id", F.coalesce("to", "component").alias("component")), known)
         if last:
             break
-        ends = [point.select(F.col("id").alias(k), F.col("to").alias(f"r{k}")) for k in ("u", "v")]
+        ends = [joinable(point.select(F.col("id").alias(k), F.col("to").alias(f"r{k}")), n) for k in ("u", "v")]
         joined = rest.join(ends[0], "u").join(ends[1], "v").where("ru <> rv")
         rest = cut_lineage(joined.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), n)
         n = rest.count()

@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.operators.graph import SMALL_GRAPH, connected_components
+from storyloom.operators.graph import SMALL_GRAPH, connected_components, joinable
 from storyloom.session import cut_lineage
 
 
-def grown(labels: DataFrame, picks: DataFrame) -> DataFrame:
-    """(id, comp) after the components that picks (comp, other_comp) names are joined; a component is named by its smallest id."""
+def grown(labels: DataFrame, picks: DataFrame, nodes: int = 0) -> DataFrame:
+    """(id, comp) after the components that picks (comp, other_comp) names are joined; a component is named by its smallest id.
+
+    nodes: how many labels there are, if known.
+    """
     roots = connected_components(picks, "comp", "other_comp", alone=SMALL_GRAPH).select(F.col("id").alias("comp"), F.col("component").alias("root"))
-    return cut_lineage(labels.join(roots, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")))
+    return cut_lineage(labels.join(joinable(roots, nodes), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")))
 
 
 def best_edges(nodes: DataFrame, best: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
@@ -24,15 +27,15 @@ def best_edges(nodes: DataFrame, best: Callable[[DataFrame, int], DataFrame]) ->
     logarithm of the nodes. Edges compare by (weight, a, b), which leaves no cycle among the chosen.
     """
     labels = cut_lineage(nodes.select("id", F.col("id").alias("comp")).distinct())
-    parts: list[DataFrame] = []
+    n, parts = labels.count(), []
     while True:
         chosen = cut_lineage(best(labels, len(parts)))
         if chosen.isEmpty():
             break
         parts.append(chosen.select("a", "b", "weight").distinct())
-        side = lambda c: labels.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+        side = lambda c: joinable(labels.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}")), n)
         picks = chosen.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("comp"), F.col("cb").alias("other_comp"))
-        labels = grown(labels, picks)
+        labels = grown(labels, picks, n)
     if not parts:
         return nodes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("weight")).limit(0)
     out = parts[0]
@@ -54,8 +57,10 @@ def minimum_forest(edges: DataFrame) -> DataFrame:
     """
     rest = [cut_lineage(edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("weight").alias("weight")))]
 
+    n = rest[0].count()
+
     def best(labels: DataFrame, done: int) -> DataFrame:
-        side = lambda c: labels.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+        side = lambda c: joinable(labels.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}")), n)
         crossing = rest[0].join(side("a"), "a").join(side("b"), "b").where("ca <> cb")
         if done:
             rest[0] = cut_lineage(crossing.select("a", "b", "weight"))

@@ -263,3 +263,24 @@ def test_neighbours_through_divided_cells(spark, monkeypatch, coarse, block):
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-8) for i in want)
     share = vc.recall(exact, vc.nearest_neighbors(df, 4, probes=8)).first()["recall"]
     assert share >= 0.9
+
+
+def test_large_graphs_are_not_broadcast(spark, monkeypatch):
+    """Forests and components of more than BROADCAST_ROWS rows come from sort-merge joins alone, with the same result."""
+    from storyloom.operators import spanning
+
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(rng.randint(0, 60), rng.randint(0, 60), float(rng.randint(1, 9))) for _ in range(80)], "a long, b long, weight double")
+    run = lambda: (sorted(map(tuple, spanning.minimum_forest(edges).collect())), sorted(map(tuple, graph.connected_components(edges, "a", "b").collect())))
+    status = spark._jsparkSession.sharedState().statusStore()
+
+    def broadcasts(first):
+        done = status.executionsList()
+        ids = [done.apply(i).executionId() for i in range(done.size())]
+        nodes = [status.planGraph(i).allNodes() for i in ids if i > first]
+        return max(ids), sum(n.apply(i).name().startswith("BroadcastExchange") for n in nodes for i in range(n.size()))
+
+    usual = run()
+    last, _ = broadcasts(-1)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 0)
+    assert run() == usual and broadcasts(last)[1] == 0
