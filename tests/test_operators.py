@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import tracemalloc
 from itertools import product
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from storyloom import lexicons as lx
 from storyloom.operators import changes as ch
-from storyloom.operators import enrich, graph, nearest, ranking, scoring
+from storyloom.operators import enrich, graph, nearest, ranking, scoring, stories
 from storyloom.operators import vectors as vc
 
 DAY = nearest.DAY_US
@@ -284,3 +285,21 @@ def test_large_graphs_are_not_broadcast(spark, monkeypatch):
     last, _ = broadcasts(-1)
     monkeypatch.setattr(graph, "BROADCAST_ROWS", 0)
     assert run() == usual and broadcasts(last)[1] == 0
+
+
+def test_tasks_follow_the_number_of_mentions(spark, monkeypatch):
+    """1,000 mentions are dealt to 20 tasks and not to the session's four; entities of clusters agree with brute force."""
+    rng = random.Random(6)
+    members = [(i, 0 if i < 60 else i % 5) for i in range(120)]
+    mentions = [(rng.randrange(130), rng.choice("abc"), rng.randrange(4), rng.randrange(10) / 100) for _ in range(1_000)]
+    sides = spark.createDataFrame(members, "id long, cluster long"), spark.createDataFrame(mentions, "id long, slug string, mention_count long, relevance double")
+    monkeypatch.setattr(stories, "MENTIONS_PER_TASK", 50)
+    found = stories.cluster_entities(*sides)
+    assert set(re.findall(r"hashpartitioning\(id#\d+L?, (\d+)\)", found._jdf.queryExecution().executedPlan().toString())) == {"20"}
+    want, of = {}, dict(members)
+    for i, slug, n, relevance in mentions:
+        if i in of:
+            ids, counts, sums = want.setdefault((of[i], slug), (set(), [], []))
+            ids.add(i), counts.append(n), sums.append(relevance)
+    got = {(r["cluster"], r["slug"]): (r["article_coverage_count"], r["mention_count"], r["aggregate_relevance_score"]) for r in found.collect()}
+    assert got == {k: (len(ids), sum(counts), pytest.approx(sum(sums))) for k, (ids, counts, sums) in want.items()}
