@@ -127,3 +127,21 @@ def test_title_query_decodes_what_its_sql_decodes(spark, tmp_path):
     db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert got == {r[0]: r[1] for r in db.execute(oracle_sql()["t10_html_title_meta"]).fetchall()}
     assert got[0] == "a &amp" and got[1] == "a & b <c> &lt;"
+
+
+def test_ratios_of_many_pairs_are_those_of_difflib(spark):
+    """Short and long texts, with and without frequent characters, compared together."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    text = lambda letters: "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 40, 150, 199, 200, 260, 383, 390])))
+    pairs = [("", ""), ("a", ""), ("é😀x", "x😀é")]
+    for _ in range(250):
+        a = text(rng.choice(["ab", "abcdefghij klmnop", "áéí😀 abc"]))
+        pairs.append((a, "".join(c for c in a if rng.random() < 0.9) if rng.random() < 0.4 else text("abcdé ")))
+    found = ms.ratios(pairs)
+    assert all(found[a, b] == SequenceMatcher(None, a, b).ratio() for a, b in pairs)
+    rows = [(a, b) for a, b in pairs] + [(None, "x")]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", ms.title_similarity_udf(lx.STOPWORDS)("a", "b").alias("s"), ms.title_bound_udf(lx.STOPWORDS)("a", "b").alias("most"))
+    assert all(r["s"] is None if r["a"] is None else r["s"] <= r["most"] for r in df.collect())
